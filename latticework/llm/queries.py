@@ -1,8 +1,9 @@
 """Queries of the subpackage and their SQL."""
 
-from . import line_dedup
+from . import line_dedup, quality
 
 QUERIES = {
+    "op2_quality_rules": quality.op2_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
