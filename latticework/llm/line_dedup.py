@@ -275,7 +275,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     packed = F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0")))
     # A document's own keys: no more than its text has lines, which is already one row.
     lists = scratch.put(index.drops().groupBy(F.col("doc_id").alias(same)).agg(F.array_join(F.collect_list(F.hex(packed)), "").alias(drop)), f"drops_{index.generation}")
-    joined = docs.join(lists, docs["doc_id"].cast("long") == lists[same], "left").drop(same)
+    # The lists grow with the corpus: always a merge join, never a broadcast that only small inputs could have.
+    joined = docs.join(lists.hint("merge"), docs["doc_id"].cast("long") == lists[same], "left").drop(same)
     at, names = taken.index("text"), [*taken, drop]
     fields = [f for f in docs.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{n_lines}` long, `{n_dropped}` long"
