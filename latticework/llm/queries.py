@@ -1,8 +1,9 @@
 """Queries of the subpackage and their SQL."""
 
-from . import line_dedup, quality
+from . import line_dedup, minhash, quality
 
 QUERIES = {
+    "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
