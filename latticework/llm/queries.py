@@ -1,13 +1,15 @@
 """Queries of the subpackage and their SQL."""
 
-from . import line_dedup, minhash, quality
+from . import line_dedup, minhash, quality, substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_substring_dedup": substring_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
