@@ -1,8 +1,9 @@
 """Queries of the subpackage and their SQL."""
 
-from . import line_dedup, minhash, quality, substring_dedup
+from . import line_dedup, minhash, packing, quality, substring_dedup
 
 QUERIES = {
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
