@@ -1,8 +1,9 @@
 """Queries of the subpackage and their SQL."""
 
-from . import line_dedup, minhash, packing, quality, substring_dedup
+from . import embedding_dedup, line_dedup, minhash, packing, quality, substring_dedup
 
 QUERIES = {
+    "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
@@ -11,6 +12,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_embedding_near_dedup": embedding_dedup.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
