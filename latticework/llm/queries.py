@@ -1,8 +1,10 @@
 """Queries of the subpackage and their SQL."""
 
-from . import embedding_dedup, line_dedup, minhash, packing, quality, substring_dedup
+from . import embedding_dedup, line_dedup, minhash, packing, quality, sentencepiece_codec, substring_dedup, token_counts
 
 QUERIES = {
+    "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
