@@ -1,8 +1,10 @@
 """Queries of the subpackage and their SQL."""
 
-from . import embedding_dedup, line_dedup, minhash, packing, quality, sentencepiece_codec, substring_dedup, token_counts
+from . import chat_format, embedding_dedup, line_dedup, minhash, packing, quality, sentencepiece_codec, substring_dedup, token_counts, token_shards
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op4_token_shards": token_shards.op4_token_shards,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_chat_format": chat_format.SQL,
     "op8_embedding_near_dedup": embedding_dedup.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
