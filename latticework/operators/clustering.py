@@ -35,14 +35,14 @@ def labelled(df: DataFrame, ids: np.ndarray, labels: np.ndarray) -> DataFrame:
 
 
 def by_group(df: DataFrame, group: str, id: str, features: str, label: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(group, id, label): ``label`` of the matrix of each group, a group a task."""
+    """(group, id, cluster): ``label`` of the matrix of each group, a group a task."""
     kind = df.schema[group].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
         own = own.sort_by("id")
-        return pa.table({group: pa.array([key[0].as_py()] * own.num_rows, own[group].type), "id": own["id"], "label": pa.array(label(_matrix(own["x"])).astype(np.int32))})
+        return pa.table({group: pa.array([key[0].as_py()] * own.num_rows, own[group].type), "id": own["id"], "cluster": pa.array(label(_matrix(own["x"])).astype(np.int32))})
 
-    return df.select(group, F.col(id).cast("long").alias("id"), vectors.doubles(features).alias("x")).groupBy(group).applyInArrow(run, f"`{group}` {kind}, id long, label int")
+    return df.select(group, F.col(id).cast("long").alias("id"), vectors.doubles(features).alias("x")).groupBy(group).applyInArrow(run, f"`{group}` {kind}, id long, cluster int")
 
 
 # K-means.

@@ -3,12 +3,11 @@ array literal inside the projection, without any join. Knots are bounded by KNOT
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,10 +36,10 @@ class Piecewise:
         sent = df.sparkSession.sparkContext.broadcast((self.x, self.coefficients))
         inside_only = not extrapolate
 
-        @F.pandas_udf("double")
-        def value(t):
+        @F.arrow_udf("double")
+        def value(t: pa.Array) -> pa.Array:
             x, c = sent.value
-            v = t.to_numpy(dtype=float, na_value=np.nan)
+            v = t.to_numpy(zero_copy_only=False).astype(float)
             k = np.clip(np.searchsorted(x, v, "left") - 1, 0, len(c) - 1)
             d = v - x[k]
             out = np.zeros(len(v))
@@ -52,9 +51,7 @@ class Piecewise:
                 out = np.where(v < x[0], left, out)
             if right is not None:
                 out = np.where(v > x[-1], right, out)
-            import pandas as pd
-
-            return pd.Series(out)
+            return pa.array(out, mask=t.is_null().to_numpy(zero_copy_only=False))
 
         return df.withColumn(output, value(F.col(target).cast("double")))
 
@@ -161,12 +158,10 @@ class BezierModel:
     def predict(self, df: DataFrame, target: str, output: str = "y", max_iter: int = 15, eps: float = 1e-6) -> DataFrame:
         sent = df.sparkSession.sparkContext.broadcast(self)
 
-        @F.pandas_udf("double")
-        def value(t):
-            import pandas as pd
-
+        @F.arrow_udf("double")
+        def value(t: pa.Array) -> pa.Array:
             m = sent.value
-            v = t.to_numpy(dtype=float, na_value=np.nan)
+            v = t.to_numpy(zero_copy_only=False).astype(float)
             k = np.clip(np.searchsorted(m.points[:, 0], v, "left") - 1, 0, len(m.first) - 1)
 
             def at(u: np.ndarray, axis: int) -> np.ndarray:
@@ -181,7 +176,7 @@ class BezierModel:
                 low, high = np.where(less, mid, low), np.where(less, high, mid)
                 if np.nanmax(high - low, initial=0) < eps * 1e-3:
                     break
-            return pd.Series(np.where(np.isnan(v), np.nan, at((low + high) / 2, 1)))
+            return pa.array(np.where(np.isnan(v), np.nan, at((low + high) / 2, 1)), mask=t.is_null().to_numpy(zero_copy_only=False))
 
         return df.withColumn(output, value(F.col(target).cast("double")))
 
