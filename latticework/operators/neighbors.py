@@ -143,6 +143,17 @@ def search_among(points: DataFrame, queries: DataFrame, candidates: DataFrame, k
     return top_k(pairs.select("query_id", "neighbor_id", m("q", "x").alias("distance")), k)
 
 
+def pairwise(left: DataFrame, right: DataFrame, metric: object = "euclidean", id: str = "id", features: str = "features") -> DataFrame:
+    """(query_id, neighbor_id, distance) of all pairs: as many rows as the result has cells, made block by block."""
+
+    def every(ids: np.ndarray, q: np.ndarray, right: pa.Table) -> pa.Table:
+        own = right["id"].to_numpy()
+        d = distances(q, _matrix(right["x"]), metric)
+        return pa.table({"query_id": np.repeat(ids, len(own)), "neighbor_id": np.tile(own, len(ids)), "distance": d.ravel()})
+
+    return _block_join(left, right, id, features, every, NEIGHBORS)
+
+
 def radius_neighbors(points: DataFrame, queries: DataFrame, radius: float, id: str = "id", features: str = "features", metric: object = "euclidean", payload: list[str] | None = None) -> DataFrame:
     """(query_id, neighbor_id, distance) of all pairs with distance <= radius."""
     V.positive_number(radius)

@@ -368,6 +368,24 @@ def _(spark, d):
     return rounded(neighbors.radius_neighbors(e, e, 0.7), 5)
 
 
+SUPPLIERS = "WITH s AS (SELECT s_suppkey AS id, [s_acctbal / 1000, s_nationkey::DOUBLE, (s_suppkey % 7)::DOUBLE] AS v FROM supplier) "
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 7).cast("double")).alias("features"))
+
+
+for _metric, _sql in {"squared_euclidean": "list_distance(a.v, b.v) ** 2", "manhattan": "list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))", "cosine": "greatest(0, 1 - list_cosine_similarity(a.v, b.v))"}.items():
+    query(f"pairwise_{_metric}", SUPPLIERS + f"SELECT a.id AS query_id, b.id AS neighbor_id, round({_sql}, 6) + 0.0 AS distance FROM s a, s b")(lambda spark, d, m=_metric: rounded(neighbors.pairwise(suppliers(spark, d), suppliers(spark, d), m)))
+
+
+@query("hamming_weighted", "SELECT id, round(list_sum(list_transform(list_zip(v, w, u), lambda z: z[3] * (z[1] <> z[2])::INT)) / list_sum(u), 6) + 0.0 AS d FROM (SELECT s_suppkey AS id, [s_suppkey % 2, s_suppkey % 3, s_nationkey] AS v, [s_suppkey % 3, s_suppkey % 5, s_nationkey] AS w, [1.0, 2.0, s_nationkey + 1.0] AS u FROM supplier)")
+def _(spark, d):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
+    s = table(spark, d, "supplier").select(k.alias("id"), F.array(k % 2, k % 3, n).alias("v"), F.array(k % 3, k % 5, n).alias("w"), F.array(F.lit(1.0), F.lit(2.0), n + 1.0).alias("u"))
+    return s.select("id", rd(X.hamming("v", "w", "u")).alias("d"))
+
+
 # Neighbours.
 
 KNN = E_SQL + ", k AS (SELECT * FROM (SELECT a.id AS query_id, b.id AS neighbor_id, b.label, list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) - 1 AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank < 5) "
