@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written. It does so when the driver's
+        garbage is collected, which may otherwise take longer than a run."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, self.path(name))
@@ -98,30 +105,30 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc", max_rounds: int = 200) -> DataFrame:
     """Smallest reachable id of every node of ``edges`` (a long, b long): rows (node, component).
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), which converge in a number of
-    rounds that is logarithmic in practice. Both steps are a pre-aggregated minimum a node and a join,
-    so a node with very many neighbours is never gathered in one task. Each round is a written table.
+    Each round takes, a node, the least label of itself and its neighbours: a join and a minimum that is
+    taken before the shuffle. From the third round on, labels are also replaced by their own labels, so
+    that long chains take a logarithmic number of rounds. No node's neighbours are gathered in a task;
+    the join's hot keys can be split. Each round is a written table.
     """
-    spark = edges.sparkSession
-    edges = scratch.put(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}_0")
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u is not null and v is not null")
+    both = scratch.put(both, f"{name}_edges")
+    labels = scratch.put(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), f"{name}_0")
     state = None
     for k in range(1, max_rounds + 1):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}_l{k}")
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.put(large, f"{name}_s{k}")
-        least = scratch.put(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}_m{k}")
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = scratch.put(small, f"{name}_{k}")
-        scratch.drop(f"{name}_{k - 1}", f"{name}_l{k}", f"{name}_s{k}", f"{name}_m{k}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state or now[0] == 0:
+        offered = both.join(labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "component")
+        new = scratch.put(offered.unionAll(labels).groupBy("node").agg(F.min("component").alias("component")), f"{name}_{k}")
+        if k >= 3:
+            labels_of = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
+            new = scratch.put(new.join(labels_of, "component").select("node", F.col("further").alias("component")), f"{name}_{k}j")
+        now = new.agg(F.count(F.lit(1)), F.sum(F.col("component").cast("decimal(20,0)"))).first()
+        scratch.drop(f"{name}_{k - 1}", f"{name}_{k - 1}j", *([f"{name}_{k}"] if k >= 3 else []))
+        if now == state:
             break
-        state = now
+        state, labels = now, new
     else:
         raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    scratch.drop(f"{name}_edges")
+    return new

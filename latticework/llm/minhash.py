@@ -6,12 +6,13 @@ the second collection is a table key, so that m^2 tables of 2 half minimums cost
 about a square root of them. At similarity s a pair of documents shares no table only if one of the
 collections has no sub-key in common: odds below 2 (1 - s^half)^m.
 
-Documents of equal sets are one class, represented by its smallest id. In each bucket the members are
-compared with the bucket's first; whoever is then in another component than the rest is compared with
-the next 1, 2, 4, ... members, until a bucket is one component or has no pair left that wasn't
-compared. So no pair of a bucket is left out unless it can't change a component, and a bucket of n
-near copies costs about n comparisons. A comparison first estimates the similarity from the minimums
-(pairs under ``floor`` go: at 0.8, 72 minimums fall under 0.5 with odds of 1e-9), then counts the sets exactly.
+Documents of equal sets are one class, represented by its smallest id. Each member of a bucket is paired
+with the bucket's first, and pairs whose minimums are unlike (an estimate under ``floor``: at 0.8, 128
+minimums fall under 0.5 with odds of 1e-14) go. What the other pairs connect is a pool. Two documents of
+similarity 0.8 share about a sixth of the tables, and one bucket whose first is like both of them, or is
+one of them, puts them into one pool. In a pool, full sets decide: all pairs that are not connected yet
+are compared, in one task for usual pools and in tiles of TILE documents for large ones, so that a group
+of near copies of any size is whole and no list of pairs is ever made.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; rows with a null
 doc_id link with nothing and have a null component; rows that repeat a doc_id are one node, judged
@@ -36,8 +37,8 @@ from ._words import mix, windows, word_runs
 class Tensored:
     """``m`` sub-keys of ``half`` minimums in each of the two collections."""
 
-    m: int = 12
-    half: int = 3
+    m: int = 16
+    half: int = 4
     floor: float = 0.5
     seed: int = 7
 
@@ -107,46 +108,28 @@ def _table_rows(reps: DataFrame, plan: Tensored) -> DataFrame:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """(key, doc, place, pivot) of the buckets with two members or more: place counts a bucket's members from 0, pivot is its first.
+    """(a, b): every further member of a bucket with its first.
 
     Reads rows in the order of their keys, one batch at a time, whatever a bucket's size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = pivot = last_doc = None
-        place, pending = 0, False  # pending: the bucket's first member was not given out yet
+        last = None  # key and first document of the bucket that the batch before ended in
         for batch in batches:
             key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last_key is not None:
-                skip = int(key[0] == last_key and doc[0] == last_doc)
-            keep = np.ones(len(key), bool)
-            keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            if last_key is not None and skip:
-                keep[0] = False
-            key, doc = key[keep], doc[keep]
-            if not len(key):
-                continue
-            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(heads, len(key)))
-            seat = np.arange(len(key)) - np.repeat(heads, size)
-            first = np.repeat(doc[heads], size)
-            goes_on = last_key is not None and key[0] == last_key
-            if goes_on:
-                seat[: size[0]] += place
-                first[: size[0]] = pivot
-            many = np.repeat(size > 1, size)
-            if goes_on:
-                many[: size[0]] = True
-            if goes_on and pending:
-                yield pa.RecordBatch.from_arrays([pa.array([last_key]), pa.array([pivot]), pa.array([0], pa.int64()), pa.array([pivot])], ["key", "doc", "place", "pivot"])
-            single_end = size[-1] == 1 and not (goes_on and len(size) == 1)
-            pivot, place, pending = first[-1], int(seat[-1]) + 1, bool(single_end)
-            last_key, last_doc = key[-1], doc[-1]
-            if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(doc[many]), pa.array(seat[many].astype(np.int64)), pa.array(first[many])], ["key", "doc", "place", "pivot"])
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(head, len(key)))
+            first = np.repeat(doc[head], size)
+            if last is not None and key[0] == last[0]:
+                first[: size[0]] = last[1]
+            last = (key[-1], first[-1])
+            more = doc != first
+            if more.any():
+                pairs = np.unique(np.stack([doc[more], first[more]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     n = partitions_of(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, place long, pivot long")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "a long, b long")
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame, plan: Tensored, floor: float) -> DataFrame:
@@ -163,29 +146,107 @@ def _estimate(pairs: DataFrame, reps: DataFrame, plan: Tensored, floor: float) -
     return map_batches(both.select("a", "b", "ma", "mb"), run, "a long, b long, share double")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, width: int, percent: int) -> DataFrame:
-    """The ``pairs`` whose full sets have ``percent`` of their union in common."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = scratch.put(own.join(scratch.put(ids, f"{name}_ids"), "id", "left_semi"), f"{name}_texts")
-    left, right = texts.withColumnsRenamed({"id": "a", "text": "ta"}), texts.withColumnsRenamed({"id": "b", "text": "tb"})
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+def _edges_of_sets(docs: list[int], sets: list[set], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect whatever is linked; what is connected already is not compared again."""
+    root, edges = list(range(len(docs))), []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    order = sorted(range(len(docs)), key=lambda k: len(sets[k]))
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            if 100 * len(sets[i]) < percent * len(sets[j]):
+                break  # all further sets are too large
+            if find(i) != find(j):
+                common = len(sets[i] & sets[j])
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    root[find(i)] = find(j)
+                    edges.append((docs[i], docs[j]))
+    return edges
+
+
+def _edges_of_matrix(docs: np.ndarray, shingles: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """The same for large pools: sizes of all intersections at once, from the names of the shingles.
+
+    Rare shingles add to the pairs that have them, the others are columns of a matrix of 0 and 1.
+    ``side``: only pairs of unlike sides are compared.
+    """
+    n, size = len(docs), np.array([len(s) for s in shingles])
+    name, owner = np.concatenate(shingles), np.repeat(np.arange(n), size)
+    order = np.argsort(name, kind="stable")
+    name, owner = name[order], owner[order]
+    head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    count = np.diff(np.append(head, len(name)))
+    each = np.repeat(count, count)
+    common = np.zeros((n, n), np.float32)
+    rare = (each >= 2) & (each <= 8)
+    for step in range(1, 8):
+        at = np.flatnonzero(rare[:-step] & (name[:-step] == name[step:]))
+        np.add.at(common, (owner[at], owner[at + step]), 1)
+    common += common.T
+    column = np.repeat(np.cumsum(count > 8) - 1, count)
+    often = each > 8
+    column, owner = column[often], owner[often]
+    for first in range(0, int(column.max()) + 1 if len(column) else 0, 2048):
+        own = (column >= first) & (column < first + 2048)
+        x = np.zeros((n, 2048), np.float32)
+        x[owner[own], column[own] - first] = 1
+        common += x @ x.T
+    linked = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common.astype(np.int64))
+    np.fill_diagonal(linked, False)
+    if side is not None:
+        linked &= side[:, None] != side[None, :]
+    low = np.arange(n)
+    while True:
+        new = np.minimum(low, np.where(linked, low[None, :], n).min(1, initial=n))
+        if (new == low).all():
+            break
+        low = new
+    at = np.flatnonzero(low != np.arange(n))
+    return list(zip(docs[at].tolist(), docs[low[at]].tolist()))
+
+
+def _pool_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) of the documents (pool, i, j, tile, doc, text) of each (pool, i, j), which come one pool after another."""
+
+    def edges(pool: list[tuple]) -> list[tuple[int, int]]:
+        docs, tiles, texts = [p[1] for p in pool], np.array([p[2] for p in pool]), [p[3] for p in pool]
+        one_tile = pool[0][0][1] == pool[0][0][2]
+        if len(pool) <= SMALL_POOL and one_tile:
+            return _edges_of_sets(docs, [shingle_set(t, width) for t in texts], percent)
+        shingles = []
+        for first, last, names, split, _, _ in word_runs(pa.array(texts, pa.binary()), lower=True):
+            for k in range(last - first):
+                own = names[split[k] : split[k + 1]]
+                shingles.append(np.unique(windows(own, min(width, max(len(own), 1)), seed=min(width, len(own)))))
+        return _edges_of_matrix(np.array(docs), shingles, None if one_tile else tiles, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, kept_set = None, set()
+        pool: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(pool) > 1 and (found := edges(pool)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
         for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), text_bytes(batch.column(3))):
-                if kept != (b, tb):
-                    kept, kept_set = (b, tb), shingle_set(tb, width)
-                other = shingle_set(ta, width)
-                common = len(other & kept_set)
-                if common and 100 * common >= percent * (len(other) + len(kept_set) - common):
-                    out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for key, tile, doc, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), text_bytes(batch.column(5))):
+                if pool and pool[0][0] != key:
+                    yield from out()
+                    pool = []
+                pool.append((key, doc, tile, text))
+        yield from out()
+
+    n = partitions_of(rows.sparkSession)
+    return rows.repartition(n, "pool", "i", "j").sortWithinPartitions("pool", "i", "j").mapInArrow(run, "a long, b long")
 
-    return both.mapInArrow(run, "a long, b long")
+
+#: Documents of a tile, bytes of text that count as one document, and documents up to which sets are compared one by one.
+TILE, TILE_BYTES, SMALL_POOL = 1024, 16_384, 48
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Tensored = Tensored()) -> DataFrame:
@@ -200,59 +261,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Te
     reps = signed.where("n_shingles > 0").join(least.select(F.col("rep").alias("doc_id"), *name), ["doc_id", *name], "left_semi").select("doc_id", "minimums")
     reps = scratch.put(reps, "reps")
     scratch.drop("signed", "least")
-    buckets = scratch.put(_members(_table_rows(reps, plan)), "buckets")
-
-    links: DataFrame | None = None
-    found = 0
-
-    def settle(candidates: DataFrame, name: str) -> None:
-        """Confirm candidate pairs: each document's likeliest first, then those whose ends are still apart."""
-        nonlocal links, comps, found
-        near = scratch.put(_estimate(candidates, reps, plan, plan.floor), f"{name}_near")
-        best = near.groupBy("a").agg(F.max(F.struct("share", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b"))
-        for part in ("best", "rest"):
-            todo = best if part == "best" else near.select("a", "b").join(scratch.put(best, f"{name}_done"), ["a", "b"], "left_anti")
-            todo = scratch.put(_apart(todo, comps), f"{name}_{part}_todo")
-            if not todo.take(1):
-                continue
-            new = scratch.put(_confirm(todo, docs, scratch, f"{name}_{part}", width, percent), f"{name}_{part}_links")
-            scratch.drop(f"{name}_{part}_ids", f"{name}_{part}_texts", f"{name}_{part}_todo")
-            if new.take(1):
-                found += 1
-                links = new if links is None else links.unionAll(new)
-                comps = scratch.put(connected_components(scratch, links, f"{name}_{part}_cc"), f"comps_{found}")
-
-    comps: DataFrame | None = None
-    settle(buckets.where("place > 0").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
-    low, high = 1, 2
-    live = buckets
-    while True:
-        largest = live.agg(F.max("place")).first()[0] if comps is not None or low == 1 else None
-        if largest is None or largest <= low:
-            break
-        # Buckets that are still in several components, and have members that weren't pivots yet.
-        where = live.select("key", "doc", "place")
-        where = where.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")) if comps is not None else where.withColumn("component", F.col("doc"))
-        where = scratch.put(where, f"where_{low}")
-        split = scratch.put(where.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("place").alias("n")).where(f"x <> y and n > {low}").select("key"), f"split_{low}")
-        live = scratch.put(where.join(split, "key", "left_semi"), f"live_{low}")
-        pivots = live.where(f"place >= {low} and place < {high}").select("key", F.col("doc").alias("b"), F.col("place").alias("at"), F.col("component").alias("cb"))
-        pairs = live.join(pivots, "key").where("place > at and component <> cb").select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct()
-        scratch.drop(f"where_{low}", f"split_{low}")
-        settle(pairs, f"round_{low}")
-        low, high = high, high * 2
-    if comps is None:
-        return members.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+    stars = scratch.put(_members(_table_rows(reps, plan)), "stars")
+    scratch.release()
+    near = scratch.put(_estimate(stars.distinct(), reps, plan, plan.floor).select("a", "b"), "near")
+    scratch.drop("stars", "reps")
+    pools = connected_components(scratch, near, "pools")
+    # A pool of many documents is cut into tiles; each pair of tiles is compared by itself.
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    pooled = own.join(pools.select(F.col("node").alias("doc"), F.col("component").alias("pool")).hint("merge"), "doc")
+    pooled = scratch.put(pooled.withColumn("weight", 1 + F.octet_length("text") / TILE_BYTES), "pooled")
+    large = scratch.put(pooled.groupBy("pool").agg(F.ceil(F.sum("weight") / TILE).alias("tiles")).where("tiles > 1"), "large")
+    tiled = pooled.join(large, "pool", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long"))).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")))
+    tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("pool", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "doc", "text")
+    links = scratch.put(_pool_links(tiled, width, percent), "links")
+    scratch.drop("pooled", "large", "near")
+    scratch.release()
+    comps = connected_components(scratch, links, "components")
     return members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return pairs
-    a, b = (comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-
 def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, plan: Tensored = Tensored()) -> DataFrame:
     """``docs`` with one document a component: the one of the smallest id. Rows with a null doc_id stay.
 
