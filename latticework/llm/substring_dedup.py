@@ -38,8 +38,11 @@ WINDOW, ROUNDS = 13, 5
 #: A filter of shared anchors of this many bytes in all is sent to every executor; beyond, anchors are joined.
 FILTER_BYTES = 48 << 20
 FILTER_SHARD_KEYS = 1 << 19
-#: Anchors in more documents than this take the road that pre-aggregates and splits hot keys.
-HOT_DOCS = 20_000
+#: An anchor is hot if it holds one part in this many, a shuffle partition, of all (anchor, document) rows; so there are few.
+HOT_SHARE = 4
+HOT_LEAST = 1_000
+#: Windows at a hot anchor are dealt over this many tasks.
+SALTS = 64
 _SPAN_SHIFT = np.uint64(58)
 
 
@@ -183,11 +186,11 @@ def _filter_rows(shared: DataFrame, n: int) -> DataFrame:
     return shared.select(F.pmod("anchor", F.lit(n)).cast("int").alias("shard"), "anchor").groupBy("shard").applyInArrow(build, "shard int, size long, bits binary")
 
 
-WINDOW_ROWS = "anchor long, name long, doc long, first int"
+WINDOW_ROWS = "anchor long, name long, salt int, doc long, first int"
 
 
-def _window_batch(ids: np.ndarray, column: pa.Array, window: int, shared) -> pa.RecordBatch:
-    parts: list[list[np.ndarray]] = [[], [], [], []]
+def _window_batch(ids: np.ndarray, column: pa.Array, window: int, shared, hot: np.ndarray) -> pa.RecordBatch:
+    parts: list[list[np.ndarray]] = [[], [], [], [], []]
     for begin, _, names, split, _, _ in word_runs(column):
         first, text, anchor = anchors(names, split, window)
         if not len(text):
@@ -195,26 +198,28 @@ def _window_batch(ids: np.ndarray, column: pa.Array, window: int, shared) -> pa.
         keep = np.flatnonzero(shared(begin, text, anchor.view(np.int64)))
         first, text, anchor = first[keep], text[keep], anchor[keep]
         name = window_names(names, split, text, first, window)
-        for part, values in zip(parts, (anchor.view(np.int64), name.view(np.int64), ids[begin + text], first.astype(np.int32))):
+        doc = ids[begin + text]
+        salt = np.where(np.isin(anchor.view(np.int64), hot), (mix(doc.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), np.int32(0)) if len(hot) else np.zeros(len(doc), np.int32)
+        for part, values in zip(parts, (anchor.view(np.int64), name.view(np.int64), salt, doc, first.astype(np.int32))):
             part.append(values)
-    empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else e) for p, e in zip(parts, empty)], ["anchor", "name", "doc", "first"])
+    empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else e) for p, e in zip(parts, empty)], ["anchor", "name", "salt", "doc", "first"])
 
 
-def _windows_by_filter(docs: DataFrame, shards: dict[int, tuple[int, bytes]], n: int, window: int) -> DataFrame:
+def _windows_by_filter(docs: DataFrame, shards: dict[int, tuple[int, bytes]], n: int, window: int, hot: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _Sharded(sent.value, n)
         for batch in batches:
-            out = _window_batch(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), window, lambda _b, _t, a: bits.has(a))
+            out = _window_batch(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), window, lambda _b, _t, a: bits.has(a), hot)
             if out.num_rows:
                 yield out
 
     return docs.select("doc_id", "text").mapInArrow(run, WINDOW_ROWS)
 
 
-def _windows_by_join(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+def _windows_by_join(docs: DataFrame, shared: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     """The same without a filter: a document's shared anchors are joined to it."""
     own = _anchor_rows(docs, window).join(shared.select("anchor"), "anchor", "left_semi")
     lists = own.distinct().groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
@@ -230,7 +235,7 @@ def _windows_by_join(docs: DataFrame, shared: DataFrame, window: int) -> DataFra
                 out[at] = np.isin(anchor[at], lists[begin + k])
             return out
 
-        return _window_batch(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), window, has)
+        return _window_batch(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), window, has, hot)
 
     return map_batches(joined.select("doc_id", "text", "anchors"), run, WINDOW_ROWS)
 
@@ -249,39 +254,41 @@ def _blocks(doc: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(block[at].astype(np.int32)), pa.array(np.bitwise_or.reduceat(bit, at).view(np.int64))], ["doc", "block", "mask"])
 
 
-def _repeats(rows: DataFrame, shared: DataFrame, scratch: Scratch) -> DataFrame:
-    """BLOCKS of the windows that a smaller document has too.
+#: Repeats as BLOCKS; or, with a null block, a salted window of its salt's smallest document.
+FOUND = BLOCKS + ", anchor long, name long, first int"
 
-    Equal windows meet in one task in the order of their documents and stream by. The windows at very
-    common anchors are cut to one row a task first and joined back, which Spark can split.
+
+def _repeats(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """FOUND of the windows that a smaller document (of the same salt) has too.
+
+    Equal windows meet in one task in the order of their documents and stream by. Of hot anchors, each
+    salt also gives out the windows of its smallest document, which are compared once more over all salts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (anchor, name, smallest document)
+        last = None  # (anchor, name, salt, smallest document)
         for batch in batches:
-            a, w, d = (batch.column(k).to_numpy() for k in range(3))
+            a, w, s, d, first = (batch.column(k).to_numpy() for k in range(5))
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+            new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1])
             heads = np.flatnonzero(new)
             least = d[heads].copy()
-            if last is not None and (a[0], w[0]) == last[:2]:
-                least[0] = last[2]
-            last = (a[-1], w[-1], least[-1])
-            gone = np.flatnonzero(d > np.repeat(least, np.diff(np.append(heads, len(a)))))
+            if last is not None and (a[0], w[0], s[0]) == last[:3]:
+                least[0] = last[3]
+            last = (a[-1], w[-1], s[-1], least[-1])
+            late = d > np.repeat(least, np.diff(np.append(heads, len(a))))
+            gone = np.flatnonzero(late)
             if len(gone):
-                yield _blocks(d[gone], batch.column(3).to_numpy()[gone].astype(np.int64))
+                out = _blocks(d[gone], first[gone].astype(np.int64))
+                none = pa.nulls(out.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*out.columns, none, none, pa.nulls(out.num_rows, pa.int32())], ["doc", "block", "mask", "anchor", "name", "first"])
+            if len(hot):
+                kept = np.flatnonzero(~late & np.isin(a, hot))
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([pa.array(d[kept]), pa.nulls(len(kept), pa.int32()), pa.nulls(len(kept), pa.int64()), pa.array(a[kept]), pa.array(w[kept]), pa.array(first[kept])], ["doc", "block", "mask", "anchor", "name", "first"])
 
     n = partitions_of(rows.sparkSession)
-    hot = shared.where(F.col("n") > HOT_DOCS).select("anchor")
-    if not hot.take(1):
-        return rows.repartition(n, "anchor", "name").sortWithinPartitions("anchor", "name", "doc").mapInArrow(run, BLOCKS)
-    rows = scratch.put(rows, "windows")
-    cool = rows.join(hot, "anchor", "left_anti").repartition(n, "anchor", "name").sortWithinPartitions("anchor", "name", "doc")
-    warm = scratch.put(rows.join(hot, "anchor", "left_semi"), "hot_windows")
-    least = scratch.put(warm.groupBy("anchor", "name").agg(F.min("doc").alias("least")), "hot_least")
-    late = warm.join(least, ["anchor", "name"]).where("doc > least").select("doc", "first")
-    one = map_batches(late, lambda b: _blocks(b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)), BLOCKS)
-    return cool.select("anchor", "name", "doc", "first").mapInArrow(run, BLOCKS).unionByName(one)
+    return rows.repartition(n, "anchor", "name", "salt").sortWithinPartitions("anchor", "name", "salt", "doc").mapInArrow(run, FOUND)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -289,20 +296,32 @@ def repeats(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FILTER_BY
     spark = docs.sparkSession
     scratch = Scratch(spark)
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = _anchor_rows(own, window).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", "n")
-    shared = scratch.put(shared, "shared")
-    shards = max(1, -(-shared.count() // FILTER_SHARD_KEYS))
+    counts = _anchor_rows(own, window).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", "n")
+    shared = scratch.put(counts, "shared")
+    del counts
+    scratch.release()
+    n_shared, total = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # Each holds that share of the rows, so there are at most HOT_SHARE a partition.
+    hot = np.array([r["anchor"] for r in shared.where(F.col("n") > max(HOT_LEAST, total // (HOT_SHARE * partitions_of(spark)))).select("anchor").collect()], np.int64)
+    shards = max(1, -(-n_shared // FILTER_SHARD_KEYS))
     small = shards * FILTER_SHARD_KEYS * 2.5 <= max(filter_bytes, 0)
     if small:
         parts = scratch.put(_filter_rows(shared, shards), "filter")
-        rows = _windows_by_filter(own, {r["shard"]: (r["size"], bytes(r["bits"])) for r in parts.collect()}, shards, window)
+        rows = _windows_by_filter(own, {r["shard"]: (r["size"], bytes(r["bits"])) for r in parts.collect()}, shards, window, hot)
     else:
-        rows = _windows_by_join(own, shared, window)
-    blocks = scratch.put(_repeats(rows, shared, scratch), "blocks")
-    scratch.drop("windows", "hot_windows", "hot_least")
+        rows = _windows_by_join(own, shared, window, hot)
+    found = scratch.put(_repeats(rows, hot), "found")
+    del rows
+    scratch.release()
+    blocks = found.where("block is not null").select("doc", "block", "mask")
+    if len(hot):
+        again = found.where("block is null").select("anchor", "name", F.lit(0).alias("salt"), "doc", "first")
+        blocks = blocks.unionByName(_repeats(again, np.zeros(0, np.int64)).select("doc", "block", "mask"))
     # A document's blocks: no more than its own words over 64.
     masks = blocks.groupBy("doc", "block").agg(F.bit_or("mask").alias("mask"))
-    return scratch.put(masks.groupBy("doc").agg(F.collect_list(F.struct("block", "mask")).alias("cuts")), "cuts")
+    cuts = scratch.put(masks.groupBy("doc").agg(F.collect_list(F.struct("block", "mask")).alias("cuts")), "cuts")
+    scratch.drop("shared", "filter", "found")
+    return cuts
 
 
 def _covered(cuts: list[dict] | None, n_words: int, window: int) -> np.ndarray:

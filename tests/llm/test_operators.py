@@ -195,7 +195,8 @@ def brute_substrings(rows, window=13):
 def test_substrings(edges, road, monkeypatch):
     rows = [(r.doc_id, r.text) for r in edges.collect()]
     if road == "hot":
-        monkeypatch.setattr(substring_dedup, "HOT_DOCS", 1)
+        monkeypatch.setattr(substring_dedup, "HOT_LEAST", 1)
+        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 10**9)
     got = substring_dedup.dedup_substrings(edges, joined_words=True, filter_bytes=0 if road == "join" else substring_dedup.FILTER_BYTES).collect()
     assert sorted((str(r.doc_id), r._n_words, r.n_removed, r.text or "") for r in got) == brute_substrings(rows)
 
