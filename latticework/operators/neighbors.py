@@ -61,6 +61,43 @@ def distances(q: np.ndarray, x: np.ndarray, metric: object = "euclidean") -> np.
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def nearest(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int, exclude_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, point id, euclidean distance) of the k nearest of each query; equal distances by id.
+
+    Products choose what may be among them; those distances are taken by differences. Of equal points the k + 1 of the smallest ids are looked at.
+    """
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    if len(ids) and len(own):
+        order = np.argsort(own, kind="stable")
+        own, x = own[order], x[order]
+        group = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+        nth = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+        keep = np.sort(order[nth <= k])
+        own, x = own[keep], x[keep]
+        norms = (x * x).sum(1)
+        for at in range(0, len(ids), 512):
+            i, y = ids[at : at + 512], q[at : at + 512]
+            near = (y * y).sum(1)[:, None] + norms - 2 * (y @ x.T)
+            slack = 1e-12 * ((y * y).sum(1) + norms.max())
+            if exclude_self:
+                near[i[:, None] == own[None, :]] = np.inf
+            last = min(k, len(own)) - 1
+            limit = np.partition(near, last, axis=1)[:, last]
+            r, c = np.nonzero((near <= (limit + slack)[:, None]) & np.isfinite(near))
+            d = np.zeros(len(r))
+            for j in range(x.shape[1]):
+                d += (y[r, j] - x[c, j]) ** 2
+            d = np.sqrt(d)
+            order = np.lexsort((own[c], d, r))
+            r, c, d = r[order], c[order], d[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            for part, v in zip(parts, (i[r[keep]], own[c[keep]], d[keep])):
+                part.append(v)
+    return tuple(np.concatenate(p) for p in parts)
+
+
 def _sliced(df: DataFrame, id: str, features: str, slices: int, extra: list[str]) -> DataFrame:
     return df.select(F.col(id).alias("id"), vectors.doubles(features).alias("x"), *extra, F.pmod(F.xxhash64(id), F.lit(slices)).cast("int").alias("slice"))
 
@@ -288,30 +325,83 @@ class RandomProjectionForest:
     metric: object = "euclidean"
 
     SAMPLE = 50_000
+    #: With ``recall``: queries that it is measured on, rows of a leaf at most before it is split, trees at most.
+    PROBES, LEAF, TREES = 512, 2000, 512
 
     @staticmethod
-    def fit(points: DataFrame, num_neighbors: int, num_trees: int, min_leaf_size: int | None = None, seed: int = 0, id: str = "id", features: str = "features", metric: object = "euclidean") -> RandomProjectionForest:
+    def fit(points: DataFrame, num_neighbors: int, num_trees: int | None = None, min_leaf_size: int | None = None, seed: int = 0, id: str = "id", features: str = "features", metric: object = "euclidean", recall: float | None = None) -> RandomProjectionForest:
+        """``num_trees`` trees, or with ``recall`` as many as find that share of the true neighbours.
+
+        The share is measured on PROBES points against exact search over all points, the point itself left
+        out, and must be reached by three standard errors. Trees too many are avoided by larger leaves.
+        """
         V.one_of(metric, ("euclidean", "squared_euclidean"))
-        leaf = min_leaf_size or max(10, 2 * num_neighbors)
+        if (num_trees is None) == (recall is None):
+            raise ValueError("either num_trees or recall is to be given")
         n = points.count()
-        if n < 2 * leaf:
+        leaf = min_leaf_size or max(10, 2 * num_neighbors)
+        if recall is None and n < 2 * leaf:
             raise ValueError(f"{n} points are too few for leaves of {leaf}")
-        depth = int(math.log2(n / leaf))
+        if recall is not None and min_leaf_size is None:
+            leaf = max(leaf, min(n // 32, RandomProjectionForest.LEAF // 2))
+        depth = int(math.log2(max(1.0, n / leaf)))
         rows = points.select(vectors.doubles(features).alias("x")).orderBy(F.xxhash64(id)).limit(RandomProjectionForest.SAMPLE).toArrow()
         x = _matrix(rows["x"])
         depth = min(depth, int(math.log2(max(2, len(x)))))
-        directions = np.random.default_rng(seed).standard_normal((num_trees, depth, x.shape[1]))
-        medians = np.zeros((num_trees, 2**depth - 1))
-        for t in range(num_trees):
-            node = np.zeros(len(x), np.int64)
-            for level in range(depth):
-                p = x @ directions[t, level]
-                for v in range(2**level - 1, 2 ** (level + 1) - 1):
-                    own = p[node == v]
-                    medians[t, v] = np.median(own) if len(own) else 0.0
-                node = 2 * node + 1 + (p > medians[t, node])
+        if recall is None:
+            directions = np.random.default_rng(seed).standard_normal((num_trees, depth, x.shape[1]))
+            medians = np.array([RandomProjectionForest._medians(x, d) for d in directions]).reshape(num_trees, -1)
+        else:
+            directions, medians = RandomProjectionForest._enough(x, RandomProjectionForest._probes(points, num_neighbors, id, features), depth, recall, seed)
         return RandomProjectionForest(points, directions, medians, num_neighbors, id, features, metric)
 
+    @staticmethod
+    def _medians(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+        """Of the nodes of one tree."""
+        medians, node = np.zeros(2 ** len(directions) - 1), np.zeros(len(x), np.int64)
+        for level, direction in enumerate(directions):
+            p = x @ direction
+            for v in range(2**level - 1, 2 ** (level + 1) - 1):
+                own = p[node == v]
+                medians[v] = np.median(own) if len(own) else 0.0
+            node = 2 * node + 1 + (p > medians[node])
+        return medians
+
+    @staticmethod
+    def _descend(x: np.ndarray, directions: np.ndarray, medians: np.ndarray) -> np.ndarray:
+        """Leaf of each row in one tree."""
+        node = np.zeros(len(x), np.int64)
+        for direction in directions:
+            node = 2 * node + 1 + (x @ direction > medians[node])
+        return node
+
+    @staticmethod
+    def _probes(points: DataFrame, k: int, id: str, features: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the probe, probe, neighbour) of each true pair of the probes."""
+        own = points.orderBy(F.xxhash64(id, F.lit("probe")), id).limit(RandomProjectionForest.PROBES)
+        pairs = BruteKNN.fit(points, k, id=id, features=features, exclude_self=True).predict(own)
+        q = own.select(F.col(id).alias("query_id"), vectors.doubles(features).alias("q"))
+        x = points.select(F.col(id).alias("neighbor_id"), vectors.doubles(features).alias("x"))
+        found = pairs.join(q, "query_id").join(x, "neighbor_id").select("query_id", "q", "x").toArrow()
+        return np.unique(found["query_id"].to_numpy(), return_inverse=True)[1], _matrix(found["q"]), _matrix(found["x"])
+
+    @staticmethod
+    def _enough(x: np.ndarray, probes: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int, recall: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(directions, medians) of the first trees that reach ``recall``; one level less where TREES do not."""
+        number, q, near = probes
+        size = np.bincount(number)
+        for levels in range(depth, -1, -1):
+            rng, hit = np.random.default_rng(seed), np.zeros(len(q), bool)
+            directions, medians = [], []
+            while len(medians) < RandomProjectionForest.TREES:
+                directions.append(rng.standard_normal((levels, x.shape[1])))
+                medians.append(RandomProjectionForest._medians(x, directions[-1]))
+                hit |= RandomProjectionForest._descend(q, directions[-1], medians[-1]) == RandomProjectionForest._descend(near, directions[-1], medians[-1])
+                share = np.bincount(number, hit) / size
+                if levels == 0 or share.mean() - 3 * share.std() / math.sqrt(len(share)) >= recall:
+                    return np.array(directions), np.array(medians)
+        raise AssertionError("one leaf has all points")
+
     def leaves(self, df: DataFrame) -> DataFrame:
         """(id, tree, leaf)."""
         directions, medians = self.directions, self.medians
@@ -323,9 +413,7 @@ class RandomProjectionForest:
                 x = _matrix(b.column(1))
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 for t in range(len(medians)):
-                    node = np.zeros(len(x), np.int64)
-                    for level in range(directions.shape[1]):
-                        node = 2 * node + 1 + (x @ directions[t, level] > medians[t, node])
+                    node = RandomProjectionForest._descend(x, directions[t], medians[t])
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(x), t, np.int32)), pa.array(node)], ["id", "tree", "leaf"])
 
         return df.select(F.col(self.id).cast("long").alias("id"), vectors.doubles(self.features).alias("x")).mapInArrow(run, "id long, tree int, leaf long")
@@ -334,11 +422,33 @@ class RandomProjectionForest:
         q, x = self.leaves(queries).withColumnRenamed("id", "query_id"), self.leaves(self.points).withColumnRenamed("id", "neighbor_id")
         return q.join(x, ["tree", "leaf"]).select("query_id", "neighbor_id").distinct()
 
+    def _in_leaves(self, df: DataFrame, is_query: bool, is_point: bool) -> DataFrame:
+        """A row a vector and tree."""
+        directions, medians = self.directions, self.medians
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    x, n = _matrix(b.column(1)), b.num_rows
+                    for t in range(len(medians)):
+                        node = RandomProjectionForest._descend(x, directions[t], medians[t])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(node), b.column(0), pa.array([is_query] * n), pa.array([is_point] * n), b.column(1)], ["tree", "leaf", "id", "is_query", "is_point", "x"])
+
+        return df.select(F.col(self.id).cast("long").alias("id"), vectors.doubles(self.features).alias("x")).mapInArrow(run, "tree int, leaf long, id long, is_query boolean, is_point boolean, x array<double>")
+
     def predict(self, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
-        c = self.candidates(queries)
-        if exclude_self:
-            c = c.where("query_id <> neighbor_id")
-        return search_among(self.points, queries, c, self.num_neighbors, self.id, self.features, self.metric)
+        """The best k of all leaves of a query: each leaf gives its own best k, so that candidates are never rows."""
+        k, squared = self.num_neighbors, self.metric == "squared_euclidean"
+        rows = self._in_leaves(queries, True, True) if queries is self.points else self._in_leaves(queries, True, False).unionAll(self._in_leaves(self.points, False, True))
+
+        def run(leaf: pa.Table) -> pa.Table:
+            ids, x = leaf["id"].to_numpy(), _matrix(leaf["x"])
+            asks, there = (leaf[c].to_numpy().astype(bool) for c in ("is_query", "is_point"))
+            a, b, d = nearest(ids[asks], x[asks], ids[there], x[there], k, exclude_self)
+            return pa.table({"query_id": a, "neighbor_id": b, "distance": d * d if squared else d})
+
+        return top_k(rows.groupBy("tree", "leaf").applyInArrow(run, NEIGHBORS).dropDuplicates(["query_id", "neighbor_id"]), k)
 
 
 def expand(graph: DataFrame, points: DataFrame, k: int, id: str = "id", features: str = "features", metric: object = "euclidean") -> DataFrame:

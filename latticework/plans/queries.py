@@ -452,7 +452,7 @@ def _(spark, d):
 @query("random_projection_forest")
 def _(spark, d):
     e = embeddings(spark, d)
-    return neighbors.RandomProjectionForest.fit(e, 5, 8).predict(e)
+    return neighbors.RandomProjectionForest.fit(e, 5, recall=0.9).predict(e)
 
 
 @query("large_vis")
