@@ -459,13 +459,12 @@ def expand(graph: DataFrame, points: DataFrame, k: int, id: str = "id", features
 
 
 class LargeVis:
-    """An approximate neighbour graph: a forest first, then rounds of neighbours of neighbours."""
+    """An approximate neighbour graph: a forest first, of ``num_trees`` trees or of ``recall``, then rounds of neighbours of neighbours."""
 
     @staticmethod
-    def fit(points: DataFrame, num_neighbors: int, num_iters: int = 3, min_leaf_size: int | None = None, num_trees: int | None = None, seed: int = 0, id: str = "id", features: str = "features", metric: object = "euclidean") -> DataFrame:
-        n = points.count()
-        trees = num_trees or 5 + round(n**0.25)
-        forest = RandomProjectionForest.fit(points, num_neighbors, trees, min_leaf_size, seed, id, features, metric)
+    def fit(points: DataFrame, num_neighbors: int, num_iters: int = 3, min_leaf_size: int | None = None, num_trees: int | None = None, seed: int = 0, id: str = "id", features: str = "features", metric: object = "euclidean", recall: float | None = None) -> DataFrame:
+        trees = None if recall is not None and num_trees is None else num_trees or 5 + round(points.count() ** 0.25)
+        forest = RandomProjectionForest.fit(points, num_neighbors, trees, min_leaf_size, seed, id, features, metric, recall)
         graph = forest.predict(points, exclude_self=True).checkpoint()
         for _ in range(num_iters):
             graph = expand(graph, points, num_neighbors, id, features, metric).checkpoint()
@@ -474,7 +473,11 @@ class LargeVis:
 
 @dataclass(frozen=True)
 class NNDescent:
-    """A neighbour graph improved by comparing a point's neighbours, both ways, until few edges change."""
+    """A neighbour graph improved by comparing a point's neighbours, both ways, until few edges change.
+
+    It starts from a forest, with ``recall`` from one that finds that share of the true neighbours: where
+    near points have few neighbours in common, the rounds alone end far from the true graph.
+    """
 
     points: DataFrame
     graph: DataFrame
@@ -485,9 +488,11 @@ class NNDescent:
     rounds: int = 0
 
     @staticmethod
-    def fit(points: DataFrame, num_neighbors: int, max_candidates: int = 60, max_iterations: int = 300, tol: float = 1e-4, tree_init: bool = True, seed: int = 0, id: str = "id", features: str = "features", metric: object = "squared_euclidean") -> NNDescent:
+    def fit(points: DataFrame, num_neighbors: int, max_candidates: int = 60, max_iterations: int = 300, tol: float = 1e-4, tree_init: bool = True, seed: int = 0, id: str = "id", features: str = "features", metric: object = "squared_euclidean", recall: float | None = None) -> NNDescent:
         k, n = num_neighbors, points.count()
-        if tree_init and n >= 4 * max(10, k):
+        if tree_init and recall is not None:
+            start = RandomProjectionForest.fit(points, k, None, None, seed, id, features, "euclidean", recall).predict(points, exclude_self=True)
+        elif tree_init and n >= 4 * max(10, k):
             start = RandomProjectionForest.fit(points, k, 5 + round(n**0.25), None, seed, id, features, "euclidean").candidates(points).where("query_id <> neighbor_id")
         else:
             ids = points.select(F.col(id).alias("query_id"))

@@ -457,12 +457,12 @@ def _(spark, d):
 
 @query("large_vis")
 def _(spark, d):
-    return neighbors.LargeVis.fit(embeddings(spark, d), 5, num_iters=1, num_trees=4)
+    return neighbors.LargeVis.fit(embeddings(spark, d), 5, recall=0.9)
 
 
 @query("nn_descent")
 def _(spark, d):
-    return neighbors.NNDescent.fit(embeddings(spark, d), 5, max_candidates=10, max_iterations=3).graph
+    return neighbors.NNDescent.fit(embeddings(spark, d), 5, recall=0.9).graph
 
 
 # Linear models.

@@ -8,7 +8,7 @@ from latticework.plans import queries as plans
 
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
-@pytest.mark.parametrize("name", ["random_projection_forest"])
+@pytest.mark.parametrize("name", ["random_projection_forest", "large_vis", "nn_descent"])
 def test_registered_recall(spark, name, size):
     d = f"/root/testdata/{size}"
     e = plans.embeddings(spark, d)
