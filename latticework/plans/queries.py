@@ -546,13 +546,13 @@ def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 @query("logistic_regression")
 def _(spark, d):
     e, cols = _wide(spark, d)
-    return linear.LogisticRegression.fit(e, cols, "label", 10, max_iterations=5, alpha=0.01).predict(e).select("id", "prediction")
+    return linear.LogisticRegression.fit(e, cols, "label", 10, alpha=0.01).predict(e).select("id", "prediction")
 
 
 @query("svm")
 def _(spark, d):
     e, cols = _wide(spark, d)
-    return linear.SVM.fit(e, cols, "label", 10, iterations=5, learning_rate=0.5).predict(e).select("id", "prediction")
+    return linear.SVM.fit(e, cols, "label", 10, learning_rate=0.5).predict(e).select("id", "prediction")
 
 
 # Bayes and discriminants: x1, x2, x3 are whole numbers, c the class. All rows train; each distinct row is predicted.
@@ -684,11 +684,11 @@ def _(spark, d):
     return rounded(clustering.silhouette_score(embeddings(spark, d), "label"))
 
 
-query("gaussian_mixture")(lambda spark, d: clustering.GaussianMixture.fit(embeddings(spark, d), 3, max_iter=5).predict(embeddings(spark, d)))
+query("gaussian_mixture")(lambda spark, d: clustering.GaussianMixture.fit(embeddings(spark, d), 3).predict(embeddings(spark, d)))
 query("optics")(lambda spark, d: clustering.OPTICS.fit(embeddings(spark, d), 5, eps=0.3))
 query("hdbscan")(lambda spark, d: clustering.HDBSCAN.fit(embeddings(spark, d)))
 query("hierarchical")(lambda spark, d: clustering.Hierarchical.frame(embeddings(spark, d), clustering.Hierarchical.fit(embeddings(spark, d), "ward")))
-query("spectral_clustering")(lambda spark, d: clustering.SpectralClustering.fit(embeddings(spark, d), 3, num_runs=2))
+query("spectral_clustering")(lambda spark, d: clustering.SpectralClustering.fit(embeddings(spark, d), 3))
 
 
 @query("hierarchical_single", E_SQL + """, p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON list_distance(a.v, b.v) < 0.8),
@@ -706,7 +706,7 @@ def _(spark, d):
 
 @query("affinity_propagation")
 def _(spark, d):
-    m = clustering.AffinityPropagation.fit(embeddings(spark, d), iterations=50).prune()
+    m = clustering.AffinityPropagation.fit(embeddings(spark, d)).prune()
     return m.predict(embeddings(spark, d)).select("id", "label") if len(m.exemplars) else clustering.labelled(embeddings(spark, d), m.ids, m.labels)
 
 
@@ -837,6 +837,6 @@ query("brent", MEAN)(lambda spark, d: _minimum(spark, optimize.Brent.minimize(-2
 query("golden_section", MEAN)(lambda spark, d: _minimum(spark, optimize.GoldenSection.minimize(-20.0, 20.0, _objective(spark, d), 1e-6).x))
 query("bfgs", MEAN)(lambda spark, d: _minimum(spark, optimize.BFGS.minimize(np.array([3.0]), lambda z, f=_objective(spark, d): f(z[0])).x[0]))
 query("nelder_mead", MEAN)(lambda spark, d: _minimum(spark, optimize.NelderMead.minimize(np.array([3.0]), lambda z, f=_objective(spark, d): f(z[0]), 1e-8).x[0]))
-query("tsne")(lambda spark, d: manifold.TSNE.fit(embeddings(spark, d), num_iters=20))
-query("mds")(lambda spark, d: manifold.MDS.fit(embeddings(spark, d), n_init=1, max_iter=10)[0])
-query("trimap")(lambda spark, d: manifold.Trimap.transform(embeddings(spark, d), num_iters=20))
+query("tsne")(lambda spark, d: manifold.TSNE.fit(embeddings(spark, d)))
+query("mds")(lambda spark, d: manifold.MDS.fit(embeddings(spark, d))[0])
+query("trimap")(lambda spark, d: manifold.Trimap.transform(embeddings(spark, d)))

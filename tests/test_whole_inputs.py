@@ -37,3 +37,9 @@ def test_whole_vectors(monkeypatch, spark, sf, name):
     got = df.select("id", F.transform(x, lambda v: v.cast("double")).alias("x"))
     want = plans.embeddings(spark, sf).select("id", F.col("features").alias("x"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["logistic_regression", "svm", "gaussian_mixture", "affinity_propagation", "tsne", "mds", "trimap", "spectral_clustering"])
+def test_default_rounds(monkeypatch, spark, sf, name):
+    _, opts = handed(monkeypatch, spark, sf, name)
+    assert not {"max_iterations", "iterations", "max_iter", "num_iters", "num_runs", "n_init", "tol", "eps"} & set(opts)
