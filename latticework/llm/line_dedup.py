@@ -167,7 +167,9 @@ class LineIndex:
         hot = lambda t: t.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
         added = hot(counts).join(hot(self.counts), ["h1", "h2"], "left_anti").withColumn("d", F.lit(1))
         lost = hot(self.counts).join(hot(counts), ["h1", "h2"], "left_anti").withColumn("d", F.lit(-1))
-        filters = self.scratch.put(_update_filters(self.filters, added.unionByName(lost), self.n_shards, hot(counts)), f"filters_{g}")
+        tried = self.scratch.put(_update_filters(self.filters, added.unionByName(lost), self.n_shards, hot(counts)), f"tried_{g}")
+        filters = self.scratch.put(_rebuilt(tried, self.n_shards, hot(counts)), f"filters_{g}")
+        self.scratch.drop(f"tried_{g}")
         return replace(self, postings=postings, counts=counts, filters=filters, generation=g)
 
     def hot(self) -> DataFrame:
@@ -221,7 +223,7 @@ def _build_filters(hot: DataFrame, n_shards: int) -> DataFrame:
 
 
 def _update_filters(filters: DataFrame, changes: DataFrame, n_shards: int, hot: DataFrame) -> DataFrame:
-    """Apply insertions (d = 1) and deletions (d = -1) to each shard's filter; an overfull one is rebuilt from the exact table."""
+    """Apply insertions (d = 1) and deletions (d = -1) to each shard's filter; an overfull one is rebuilt from the exact table. Bits are null where insertion failed."""
 
     def update(key: tuple[pa.Scalar, ...], old: pa.Table, new: pa.Table) -> pa.Table:
         h1, h2, d = (new[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("h1", "h2", "d"))
@@ -231,6 +233,7 @@ def _update_filters(filters: DataFrame, changes: DataFrame, n_shards: int, hot:
             kept.delete(h1[d < 0], h2[d < 0])
             if kept.insert(h1[d > 0], h2[d > 0]):
                 return _filter_row(key[0].as_py(), kept)
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n_buckets": pa.array([n], pa.int32()), "bits": pa.array([None], pa.binary())})
         now = d >= 0
         return _filter_row(key[0].as_py(), _filled(h1[now], h2[now]))
 
@@ -246,6 +249,13 @@ def _update_filters(filters: DataFrame, changes: DataFrame, n_shards: int, hot:
     return keep.groupBy("shard").cogroup(grown.groupBy("shard")).applyInArrow(update, FILTER_SCHEMA)
 
 
+def _rebuilt(filters: DataFrame, n_shards: int, hot: DataFrame) -> DataFrame:
+    """``filters`` with those that have no bits made anew from all hot keys of their shards."""
+    failed = filters.where("bits is null").select("shard")
+    keys = hot.withColumn("shard", _shard(n_shards)).join(failed, "shard", "left_semi").select("h1", "h2")
+    return filters.where("bits is not null").unionByName(_build_filters(keys, n_shards))
+
+
 def _probe(postings: DataFrame, parts: dict[int, tuple[int, bytes]], n_shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {s: CuckooFilter(n, np.frombuffer(bits, np.uint16).reshape(n, -1)) for s, (n, bits) in parts.items()}
