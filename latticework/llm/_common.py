@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,14 @@ _CREATED: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or else the checkpoint folder set on the context.
+
+    Where neither is set, a local master, all in one machine, gets a folder of its own; a cluster is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/latticework-scratch"
     return base.rstrip("/")
 
@@ -51,10 +57,10 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _delete(self.spark, self.path(name))
+            delete(self.spark, self.path(name))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -64,7 +70,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _cleanup() -> None:
     for root, spark in _CREATED.items():
         try:
-            _delete(spark, root)
+            delete(spark, root)
         except Exception:  # the session may be gone already
             pass
 
@@ -76,6 +82,36 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+class Store:
+    """Values of recurring keys (texts or bytes), a process; ``limit`` bounds their length in all, whatever the corpus.
+
+    When it is full, all goes but the values of the keys at hand, as far as they fit.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.kept = limit, 0, {}
+
+    def look(self, keys: list, make: Callable[[list], dict], size: Callable = len) -> list:
+        """The values of distinct ``keys``; ``make`` gives those that aren't there."""
+        kept = self.kept
+        new = [k for k in keys if k not in kept]
+        made = make(new) if new else {}
+        out = [kept[k] if k in kept else made[k] for k in keys]
+        more = sum(len(k) + size(made[k]) for k in new)
+        if self.size + more > self.limit:
+            kept.clear()
+            self.size, more, made = 0, 0, {}
+            for k, v in zip(keys, out):
+                if (more := more + len(k) + size(v)) > self.limit:
+                    break
+                made[k] = v
+                self.size = more
+            more = 0
+        kept.update(made)
+        self.size += more
+        return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df``."""
 

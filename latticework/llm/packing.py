@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, map_batches, text_bytes
+from ._common import Scratch, map_batches
 from ._tokens import default_path, encoder
 
 CAPACITY, END_ID, GROUP = 4096, 1, 40_000
@@ -37,16 +37,19 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = encoder(path)
+        keys = batch.column(0).to_pylist()
         doc, piece, start, length, crc = [], [], [], [], []
-        for key, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-            ids = words.ids(data) + end
-            for k in range(0, len(ids), 4 * capacity):
-                part = ids[k : k + 4 * capacity]
-                doc.append(key)
-                piece.append(k // (4 * capacity))
-                start.append(k // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
+        for first, ids, bounds in words.runs(batch.column(1)):
+            raw = ids.tobytes()
+            for key, a, b in zip(keys[first:], bounds.tolist(), bounds[1:].tolist()):
+                own = raw[4 * a : 4 * b] + end
+                for k in range(0, len(own), 4 * capacity):
+                    part = own[k : k + 4 * capacity]
+                    doc.append(key)
+                    piece.append(k // (4 * capacity))
+                    start.append(k // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
