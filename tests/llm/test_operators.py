@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on texts with nulls, blanks, ties, repeats and clashing columns; and on no rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -265,6 +266,22 @@ def test_packing_full_pieces_and_empty(empty):
     assert packing.best_fit_packing(empty).count() == 0
 
 
+def test_word_encoder_agrees_on_odd_texts(monkeypatch):
+    from latticework.llm import _tokens
+
+    r = random.Random(3)
+    parts = [*"aZ.,\x1c\x1d\x85 \n\t_'%|<é\u0301İ1日", "<|endoftext|>", "'s", "word", ". ", ", "]
+    texts = ["a\x1c.b", "<|ENDOFTEXT|>. A", "", "x" * 5000, *("".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(4000))]
+    own = _tokens.WordEncoder(packing.default_path())
+    expected = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for kept, run in ((1 << 20, 1 << 20), (300, 200)):
+        monkeypatch.setattr(_tokens, "RUN_BYTES", run)
+        own.kept = _tokens.Store(kept)
+        got = [ids[a:b].tolist() for _, ids, bounds in own.runs(pa.array(texts)) for a, b in zip(bounds, bounds[1:])]
+        assert got == expected
+        assert own.kept.size <= kept and own.kept.size == sum(len(k) + len(v) for k, v in own.kept.kept.items())
+
+
 def test_word_encoder_is_exact(edges):
     own = packing.encoder(packing.default_path())
     odd = ["a.b,c", "...", "x..y", "It's, DON'T.", "3.14,15", "É.é", "«a».", "_._", "<|endoftext|>a.B", "<|ENDOFTEXT|>", "Σίσυφος ΣΑΣ.", "İI.", "é É.", "\x1ca\x85b", "Ⅷ.½", "can't.'re"]
@@ -337,6 +354,22 @@ def test_pieces_odd_texts(library):
         assert [i for i, _, _ in own._plain("▁the")] == [i for i in library.encode("the")]
 
 
+def test_pieces_of_a_long_chunk(library, monkeypatch):
+    """A chunk without spaces, in one table, in many, and among chunks of its length."""
+    r = random.Random(5)
+    from latticework.llm._pieces import default_path
+
+    texts = ["".join(r.choice("abcdefghiéλ日🎉") for _ in range(3000)) for _ in range(3)]
+    own = sentencepiece_codec.codec(default_path())
+    whole = own.encode_batch(texts)
+    expected = [own._ids(t, own._plain(t)) for t in (c for x in texts for c in own.model.chunks(x))]
+    assert whole == expected
+    monkeypatch.setattr(sentencepiece_codec, "CELLS", 700)
+    own.kept.kept.clear()
+    assert own.encode_batch(texts) == expected
+    assert [own.decode(np.frombuffer(x, "<i4")) for x in expected] == texts
+
+
 def test_pieces_empty(empty):
     assert sentencepiece_codec.encode(empty).count() == 0
     assert token_counts.count_tokens(empty).count() == 0
@@ -356,21 +389,43 @@ def test_feistel_is_a_permutation(n):
 
 def test_shards(edges, tmp_path):
     out = f"file://{tmp_path}"
-    rows = token_shards.write_shards(edges, out, stride=16, shard_size=50).orderBy("slot").collect()
-    assert [r.slot for r in rows] == list(range(len(rows)))
-    data = list(token_shards.read_slots(out, 0, len(rows), 16, 50))
-    for r, s in zip(rows, data):
-        assert zlib.crc32(s[: r.length].tobytes()) == r.ids_crc32
-        assert not s[r.length :].any()
+    rows = token_shards.write_shards(edges, out, stride=16, shard_size=50).orderBy("slot", "at").collect()
+    n = rows[-1].slot + 1
+    filled = Counter()
+    for r in rows:
+        assert r.at == filled[r.slot] and r.shard == r.slot // 50  # parts stand end to end
+        filled[r.slot] += r.length
+    assert sorted(filled) == list(range(n))
+    assert sum(k < 16 for k in filled.values()) <= edges.rdd.getNumPartitions()  # a partition's last one
+    data = list(token_shards.read_slots(out, 0, n, 16, 50))
+    assert all(not s[filled[k] :].any() for k, s in enumerate(data))
     assert [x.tolist() for x in token_shards.read_slots(out, 37, 60, 16, 50)] == [x.tolist() for x in data[37:97]]
-    own = packing.encoder(packing.default_path())
-    texts = {r.doc_id: r.text for r in edges.collect()}
-    by_doc = defaultdict(dict)
-    for r, s in zip(rows, data):
-        by_doc[r.doc_id][r.piece] = s[: r.length].tolist()
-    for d, t in texts.items():
-        ids = np.frombuffer(own.ids((t or "").encode()), "<u4").tolist() + [1]
-        assert sum((by_doc[d][k] for k in sorted(by_doc[d])), []) == ids
+    library = packing.encoder(packing.default_path()).tokenizer
+    expected = Counter((r.doc_id, *library.encode(r.text or "", add_special_tokens=False).ids, 1) for r in edges.collect())
+    by_doc = defaultdict(list)
+    for r in rows:
+        own = data[r.slot][r.at : r.at + r.length]
+        assert zlib.crc32(own.tobytes()) == r.ids_crc32
+        by_doc[r.doc_id].append((r.start, own.tolist()))
+    # Rows that repeat a document have equal parts: those of equal start alternate.
+    got = Counter()
+    for d, parts in by_doc.items():
+        copies = sum(c for k, c in expected.items() if k[0] == d)
+        if copies == 1:
+            got[(d, *sum((x for _, x in sorted(parts)), []))] += 1
+        else:
+            whole = next(k for k in expected if k[0] == d)
+            covered = Counter(i for start, x in parts for i, v in enumerate(x, start) if whole[1 + i] == v)
+            assert set(covered.values()) == {copies} and len(covered) == len(whole) - 1
+            got[whole] += copies
+    assert got == expected
+
+
+def test_a_token_table_that_changes_is_noticed(edges, tmp_path, monkeypatch):
+    counts = token_shards._counts
+    monkeypatch.setattr(token_shards, "_counts", lambda rows: {p: n + 1 for p, n in counts(rows).items()})
+    with pytest.raises(Exception, match="when they were counted"):
+        token_shards.write_shards(edges, f"file://{tmp_path}", stride=16, shard_size=50)
 
 
 def test_shards_empty(empty, tmp_path):
