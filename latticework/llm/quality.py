@@ -2,8 +2,10 @@
 
 Each rule votes bad (-1), good (+1) or abstains (0) on a document. The votes of one document are one
 of at most 3^len(RULES) patterns, so the corpus reduces to a histogram of patterns, counted over all
-documents; expectation maximisation on it gives the prior and, a rule and class, how often the rule
-votes each way (its accuracy in that class). A document's posterior follows from its pattern alone.
+documents. Expectation maximisation on it estimates the share of good text and of each kind of junk and,
+a rule and class, how often a vote that the rule casts is bad: its accuracy in that class. Whether a rule
+abstains tells nothing. A document's posterior follows from its pattern alone, so that one bad vote does
+not decide where the other rules, as accurate as they turned out to be, speak for the document.
 
 The fit is one scan that shuffles only pattern counts; the decision is a second scan without any
 shuffle. No text is moved or kept.
@@ -28,7 +30,9 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_distinct", "n_upper", "n_letters", "n_shouts")
+EXTRA = ("n_lines", "n_upper", "n_letters", "n_shouts", "n_marks", "n_varied", "n_windowed")
+#: Words of a window in which different words are counted, so that variety does not fall with a text's length.
+VARIETY = 100
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -40,6 +44,8 @@ def _mask(chars: bytes) -> np.ndarray:
 _WHITE, _SYMBOL = _mask(b" \t\n\x0b\x0c\r"), _mask(SYMBOLS)
 _CONT, _LEAD = _mask(bytes(range(0x80, 0xC0))), _mask(bytes(range(0xC0, 0x100)))
 _UPPER, _LOWER, _SHOUT = _mask(bytes(range(65, 91))), _mask(bytes(range(97, 123))), _mask(b"!")
+#: ASCII punctuation that prose has little of.
+_MARKS = _mask(b"#$%&*+/<=>@[\\]^_`{|}~")
 
 
 def repeated_words(ids: np.ndarray, n_distinct: int, window: int = WINDOW) -> int:
@@ -68,6 +74,15 @@ def repeated_words(ids: np.ndarray, n_distinct: int, window: int = WINDOW) -> in
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def varied_words(ids: np.ndarray, window: int = VARIETY) -> tuple[int, int]:
+    """(different words, words), summed over windows that cover the whole text: one after another, and the last ``window`` words."""
+    if len(ids) <= window:
+        return len(np.unique(ids)), len(ids)
+    whole = ids[: len(ids) // window * window].reshape(-1, window)
+    x = np.sort(np.concatenate([whole, ids[None, -window:]]) if len(ids) % window else whole, axis=1)
+    return int((x[:, 1:] != x[:, :-1]).sum()) + len(x), x.size
+
+
 def signals(data: bytes | None) -> list[int]:
     """The values of SIGNALS and EXTRA for one whole text."""
     data = data or b""
@@ -79,7 +94,7 @@ def signals(data: bytes | None) -> list[int]:
     cont = int(seen @ _CONT)
     return [
         len(words), len(data) - cont - int(seen @ _WHITE), int(seen @ _SYMBOL), len(lines) - len(set(lines)), repeated_words(ids, len(codes)),
-        len(lines), len(codes), int(seen @ _UPPER), int(seen @ (_UPPER + _LOWER + _LEAD)), int(seen @ _SHOUT),
+        len(lines), int(seen @ _UPPER), int(seen @ (_UPPER + _LOWER + _LEAD)), int(seen @ _SHOUT), int(seen @ _MARKS), *varied_words(ids),
     ]
 
 
@@ -89,44 +104,47 @@ def _between(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
 
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """Votes of all rules, a row a document, a column a rule in the order of RULES."""
-    n, lines, letters = (np.maximum(s[c], 1) for c in ("n_words", "n_lines", "n_letters"))
-    symbols, shouts, upper = s["n_symbols"] / n, s["n_shouts"] / n, s["n_upper"] / letters
-    repeats, twice, distinct = s["n_repeat_words"] / n, s["n_dup_lines"] / lines, s["n_distinct"] / n
-    length, solid = s["word_chars"] / n, s["n_letters"] / np.maximum(s["word_chars"], 1)
-    long_text = s["n_words"] >= 20
+    n, chars, lines, letters = (np.maximum(s[c], 1) for c in ("n_words", "word_chars", "n_lines", "n_letters"))
+    symbols, marks, solid = s["n_symbols"] / n, s["n_marks"] / chars, s["n_letters"] / chars
+    shouts, upper = s["n_shouts"] / n, s["n_upper"] / letters
+    repeats, twice, varied = s["n_repeat_words"] / n, s["n_dup_lines"] / lines, s["n_varied"] / np.maximum(s["n_windowed"], 1)
+    length, long_text = s["word_chars"] / n, s["n_words"] >= 20
     return np.stack([
         _between(symbols, symbols <= 0.02, symbols > 0.1),
-        _between(shouts, shouts <= 0.05, shouts > 0.25),
-        _between(upper, upper <= 0.15, (upper > 0.4) & (s["n_words"] >= 10)),
+        _between(marks, marks <= 0.005, marks > 0.03),
+        _between(solid, solid >= 0.9, solid < 0.75),
+        _between(shouts, shouts <= 0.02, shouts > 0.2),
+        _between(upper, upper <= 0.1, (upper > 0.4) & (s["n_words"] >= 10)),
         _between(repeats, repeats <= 0.1, repeats > MAX_REPEAT_PERCENT / 100),
-        _between(twice, twice <= 0.1, (twice > 0.4) & (s["n_lines"] >= 4)),
-        _between(distinct, (distinct >= 0.45) & long_text, (distinct < 0.25) & long_text),
+        _between(twice, twice <= 0.1, (twice > 0.3) & (s["n_lines"] >= 4)),
+        _between(varied, (varied >= 0.7) & long_text, (varied < 0.5) & long_text),
         _between(length, (length >= 3) & (length <= 12), (length < 2) | (length > 20)),
-        _between(solid, solid >= 0.8, solid < 0.5),
     ], axis=1)
 
 
-RULES = ("few_symbols", "no_shouting", "few_capitals", "no_repeats", "no_repeated_lines", "varied_words", "usual_word_length", "mostly_letters")
-
-
-#: Rates of bad, abstain and good of a rule on the kind of junk that it is there for.
-NAMESAKE = (0.998, 0.001, 0.001)
+RULES = ("few_symbols", "few_marks", "mostly_letters", "no_shouting", "few_capitals", "no_repeats", "no_repeated_lines", "varied_words", "usual_word_length")
+#: The kinds of junk and the rules that are there for each; a rule may be there for none.
+KINDS = {"symbols": (0, 1, 2), "shouting": (3, 4), "repetition": (5, 6, 7)}
+#: What is thought before any document is seen: how often a cast vote is bad on good text, on the rule's own kind of junk, and on other junk.
+BEFORE = (0.02, 0.8, 0.1)
+#: Documents that this counts as much as, a rule and class; and one document a class. The corpus soon outweighs it.
+PRIOR_WEIGHT = 4.0
 
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Class 0 is good, class r + 1 the kind of junk that rule r is there for.
+    """Class 0 is good, class k + 1 the k-th of KINDS.
 
-    prior[c]: share of a class; rates[c, r, v]: how often rule r votes v - 1 on documents of class c.
+    prior[c]: share of a class; bad[c, r]: how often a vote that rule r casts on documents of class c is bad.
     """
 
     prior: np.ndarray
-    rates: np.ndarray
+    bad: np.ndarray
     rounds: int
 
     def classes(self, patterns: np.ndarray) -> np.ndarray:
         """Posterior of every class, a row a row of votes."""
-        like = np.log(self.rates)[:, np.arange(patterns.shape[1])[None, :], patterns + 1].sum(2).T + np.log(self.prior)
+        like = np.log(self.prior) + (patterns < 0) @ np.log(self.bad).T + (patterns > 0) @ np.log1p(-self.bad).T
         like = np.exp(like - like.max(1, keepdims=True))
         return like / like.sum(1, keepdims=True)
 
@@ -135,39 +153,41 @@ class VoteModel:
         return self.classes(patterns)[:, 0]
 
     def accuracies(self) -> np.ndarray:
-        """Of each rule, how often a vote that it casts is right."""
-        bad = (self.prior[1:, None] * self.rates[1:, :, 0]).sum(0)
-        good = self.prior[0] * self.rates[0, :, 2]
-        cast = (self.prior[:, None] * (self.rates[:, :, 0] + self.rates[:, :, 2])).sum(0)
-        return (bad + good) / cast
+        """[r]: how often rule r is right, on average over good text and junk as far as it casts votes: the mean of a good vote's share on good text and a bad vote's on its kind of junk."""
+        own = np.array([next((self.bad[k + 1, r] for k, rules in enumerate(KINDS.values()) if r in rules), np.nan) for r in range(len(RULES))])
+        return np.where(np.isnan(own), 1 - self.bad[0], (1 - self.bad[0] + own) / 2)
+
+
+def prior_rates() -> np.ndarray:
+    """The rates of BEFORE, a row a class."""
+    mean = np.full((len(KINDS) + 1, len(RULES)), BEFORE[2])
+    mean[0] = BEFORE[0]
+    for k, rules in enumerate(KINDS.values()):
+        mean[k + 1, list(rules)] = BEFORE[1]
+    return mean
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, max_rounds: int = 200, tol: float = 1e-9) -> VoteModel:
-    """Expectation maximisation on counted patterns, one vote table a rule and class.
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, max_rounds: int = 1000, tol: float = 1e-9) -> VoteModel:
+    """Expectation maximisation on counted patterns.
 
     Junk comes in kinds that trip different rules, so one junk class would call the votes of the other
-    rules evidence for good; hence a class a kind. A kind's own rule nearly always fires on it (NAMESAKE,
-    held fixed), without which a class of few documents would drift off to some clean ones. Starts from the rules' own word: no bad vote, good;
-    else junk of the kinds voted for. Additive smoothing keeps every rate positive.
+    rules evidence for good; hence a class a kind, whose rates are all estimated. They start from the rules'
+    own word (the share of bad ones among a kind's votes) and from a prior that weighs PRIOR_WEIGHT documents.
     """
-    n_rules = len(RULES)
-    patterns, counts = patterns.reshape(-1, n_rules), counts.astype(float)
-    bad = patterns < 0
-    share = np.where(bad.any(1), 0.05, 1.0)
-    part = np.hstack([share[:, None], (1 - share)[:, None] * bad / np.maximum(bad.sum(1, keepdims=True), 1)])
-    n_classes = n_rules + 1
-    model, last = VoteModel(np.full(n_classes, 1 / n_classes), np.full((n_classes, n_rules, 3), 1 / 3), 0), None
+    patterns, counts = patterns.reshape(-1, len(RULES)), counts.astype(float)
+    bad, cast, mean = (patterns < 0).astype(float), (patterns != 0).astype(float), prior_rates()
+    kinds = [list(rules) for rules in KINDS.values()]
+    part = np.stack([bad[:, r].sum(1) / np.maximum(cast[:, r].sum(1), 1) for r in kinds], axis=1)
+    part = np.hstack([np.maximum(1 - part.sum(1, keepdims=True), 0.05), part])
+    part /= part.sum(1, keepdims=True)
+    model = VoteModel(np.full(len(mean), 1 / len(mean)), mean, 0)
     for k in range(max_rounds if len(counts) else 0):
         weight = part * counts[:, None]
-        rates = np.stack([weight.T @ (patterns == v) for v in (-1, 0, 1)], axis=2) + 0.1
-        rates /= rates.sum(2, keepdims=True)
-        rates[np.arange(1, n_classes), np.arange(n_rules)] = NAMESAKE
-        prior = weight.sum(0) + 0.1
-        model = VoteModel(prior / prior.sum(), rates, k + 1)
-        part = model.classes(patterns)
-        if last is not None and np.abs(part - last).max() <= tol:
+        prior = weight.sum(0) + 1
+        model = VoteModel(prior / prior.sum(), (weight.T @ bad + PRIOR_WEIGHT * mean) / (weight.T @ cast + PRIOR_WEIGHT), k + 1)
+        last, part = part, model.classes(patterns)
+        if np.abs(part - last).max() <= tol:
             break
-        last = part
     return model
 
 
