@@ -6,6 +6,10 @@ a shard, a cuckoo filter of the keys whose count has reached ``min_docs``. Docum
 and deleted again: counts go up and down, and a key's fingerprint enters or leaves its filter as the
 count crosses the threshold, so that insert-then-delete restores the index exactly.
 
+A posting meets its shard's filter in the shard's own tasks: both are dealt by shard and salt, the filter
+comes first and the postings stream past it. So no filter is ever sent to all executors, at any size, and
+a key that many documents hold is spread over salts. What the filters let through meets the exact table.
+
 Defined results: a null text is one empty line, as an empty text is; rows with a null doc_id keep all
 lines and count as no document; rows that repeat a doc_id count as one document, and each row is
 cleaned by itself; extra columns pass through unchanged.
@@ -26,9 +30,10 @@ from ._common import Scratch, free_name, map_batches, partitions_of, text_bytes
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Filters of this many bytes in all are sent to every executor; beyond, the exact tables are joined directly.
-FILTER_BYTES = 32 << 20
-SHARD_KEYS = 1 << 18
+#: Keys of a shard, of whose filter each salt gets a copy (about 40 KB).
+SHARD_KEYS = 1 << 14
+#: Salts of a shard, at the least; there are more where few shards would leave tasks without work.
+SALTS = 8
 
 
 class CuckooFilter:
@@ -165,6 +170,10 @@ class LineIndex:
         g = self.generation + 1
         postings, counts = self.scratch.put(postings, f"postings_{g}"), self.scratch.put(counts, f"counts_{g}")
         hot = lambda t: t.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        n_hot = hot(counts).count()
+        if n_hot > 2 * SHARD_KEYS * self.n_shards:  # shards that have grown too large are dealt anew
+            n_shards = -(-n_hot // SHARD_KEYS)
+            return replace(self, postings=postings, counts=counts, filters=self.scratch.put(_build_filters(hot(counts), n_shards), f"filters_{g}"), n_shards=n_shards, generation=g)
         added = hot(counts).join(hot(self.counts), ["h1", "h2"], "left_anti").withColumn("d", F.lit(1))
         lost = hot(self.counts).join(hot(counts), ["h1", "h2"], "left_anti").withColumn("d", F.lit(-1))
         tried = self.scratch.put(_update_filters(self.filters, added.unionByName(lost), self.n_shards, hot(counts)), f"tried_{g}")
@@ -179,15 +188,9 @@ class LineIndex:
     def drops(self) -> DataFrame:
         """(h1, h2, doc_id): where a key's lines go, everywhere but in the largest document that holds it.
 
-        The filters take out nearly all postings before the exact join, if they are small enough to be
-        sent to all executors; the join with the exact table alone decides.
+        The filters take out nearly all postings; the join with the exact table decides.
         """
-        size = self.filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-        postings = self.postings
-        if size <= FILTER_BYTES:
-            parts = {r["shard"]: (r["n_buckets"], bytes(r["bits"])) for r in self.filters.collect()}
-            postings = _probe(postings, parts, self.n_shards)
-        return postings.join(self.hot(), ["h1", "h2"]).where("doc_id < max_doc").select("h1", "h2", "doc_id")
+        return _probe(self.postings, self.filters, self.n_shards).join(self.hot(), ["h1", "h2"]).where("doc_id < max_doc").select("h1", "h2", "doc_id")
 
 
 def _count(postings: DataFrame) -> DataFrame:
@@ -256,19 +259,33 @@ def _rebuilt(filters: DataFrame, n_shards: int, hot: DataFrame) -> DataFrame:
     return filters.where("bits is not null").unionByName(_build_filters(keys, n_shards))
 
 
-def _probe(postings: DataFrame, parts: dict[int, tuple[int, bytes]], n_shards: int) -> DataFrame:
+def _probe(postings: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
+    """The postings whose key the filter of their shard has."""
+    n = partitions_of(postings.sparkSession)
+    salts = max(SALTS, -(-4 * n // n_shards))
+    nothing = {c: F.lit(None).cast("long") for c in ("h1", "h2", "doc_id")}
+    copies = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "n_buckets", "bits").withColumns(nothing)
+    dealt = postings.select(_shard(n_shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("n_buckets"), F.lit(None).cast("binary").alias("bits"), "h1", "h2", "doc_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {s: CuckooFilter(n, np.frombuffer(bits, np.uint16).reshape(n, -1)) for s, (n, bits) in parts.items()}
+        at, own = None, None  # the shard and salt at hand, and their filter
         for batch in batches:
-            h1, h2 = (batch.column(k).to_numpy() for k in (0, 1))
-            shard, hit = np.mod(h1, n_shards), np.zeros(len(h1), bool)
-            for s, own in filters.items():
-                at = np.flatnonzero(shard == s)
-                hit[at] = own.contains(h1[at], h2[at])
+            shard, salt, kind = (batch.column(k).to_numpy() for k in range(3))
+            h1, h2 = (batch.column(k).fill_null(0).to_numpy() for k in (5, 6))
+            edge = np.flatnonzero((shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])) + 1
+            hit = np.zeros(len(shard), bool)
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(shard)]):
+                if (shard[a], salt[a]) != at:
+                    at, own = (shard[a], salt[a]), None
+                if kind[a] == 0:
+                    size = batch.column(3)[a].as_py()
+                    own, a = CuckooFilter(size, np.frombuffer(batch.column(4)[a].as_py(), np.uint16).reshape(size, -1)), a + 1
+                if own is not None:  # a shard without a filter has no hot key
+                    hit[a:b] = own.contains(h1[a:b], h2[a:b])
             if hit.any():
-                yield batch.filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(hit)) for k in (5, 6, 7)], ["h1", "h2", "doc_id"])
 
-    return postings.mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return copies.unionByName(dealt).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(run, "h1 long, h2 long, doc_id long")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, index: LineIndex | None = None) -> DataFrame:
