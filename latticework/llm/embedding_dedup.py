@@ -1,13 +1,15 @@
 """Embedding near-dedup with a forest of random-projection trees whose splits overlap.
 
-A tree splits the unit vectors at the median of their projection on a random direction, again and
-again; vectors within a margin of a split go down both sides. Vectors of one label that meet in a leaf
-are compared exactly, in double precision. The forest (directions, medians) is fitted to a bounded
-sample; every vector goes through it.
+A tree splits the unit vectors by their projection on a random direction, again and again; vectors within
+a margin of a split go down both sides. Each node splits at the median of the label that it has most of,
+until no label has more than about 4 sqrt(n) of its n vectors in a leaf. Vectors of one label that meet in
+a leaf are compared exactly, in double precision. The forest (directions, medians) is fitted to a sample
+of at most SAMPLE vectors; every vector goes through it. Beyond SAMPLE^2 / 4 vectors a label, leaves are a
+constant share of it, unless SAMPLE grows along.
 
 The margin follows from the threshold: two unit vectors of cosine c are sqrt(2 - 2 c) apart, and their
-projections differ by about that over the root of the dimension. ``Forest.plan`` takes as many trees
-as bring the odds that a pair at the threshold shares no leaf of any tree below ``miss``.
+projections differ by about that over the root of the dimension. ``trees_needed`` are as many as bring
+the odds that a pair at the threshold shares no leaf of any tree below ``miss``.
 
 A linked pair is counted in the first leaf that it shares only, so that counts of links add up without
 a list of pairs; for the components a leaf gives one edge a vector. Equal vectors of a label are one
@@ -34,68 +36,90 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, connected_components, map_batches
 
-THRESHOLD, SAMPLE, LEAF, TILE, MAX_DEPTH = 0.93, 40_000, 1024, 1536, 12
+THRESHOLD, SAMPLE, TILE = 0.93, 40_000, 1536
+#: Vectors of the sample below which a node is not split, and levels of a tree at most.
+LEAST, LEVELS = 8, 64
+#: Half the distance at the threshold that the margin covers, in units of its spread along a direction.
+WIDTH = 0.67
+
+
+def trees_needed(depth: int, threshold: float, miss: float) -> int:
+    """Trees of ``depth`` splits that keep the odds of a missed pair at the threshold below ``miss``."""
+    far = math.sqrt(2 - 2 * threshold)
+    beyond = 2 * (math.exp(-WIDTH * WIDTH / 2) / math.sqrt(2 * math.pi) - WIDTH * 0.5 * math.erfc(WIDTH / math.sqrt(2)))
+    apart = 1 - (1 - min(0.9, far * beyond / math.sqrt(2 * math.pi))) ** depth
+    # Twice the trees that vectors spread evenly would need: clusters put more of them near a split.
+    return max(4, 2 * math.ceil(math.log(miss) / math.log(apart))) if depth else 0
 
 
 @dataclass(frozen=True)
-class Forest:
-    """directions[t, v], split[t, v]: of node v of tree t; children of v are 2 v + 1 and 2 v + 2. A nan split is a leaf."""
+class Tree:
+    """directions[l]: of level l. Of node v: its split and its first child (the second follows); a leaf has child 0."""
 
-    dim: int
-    margin: float
     directions: np.ndarray
     split: np.ndarray
+    child: np.ndarray
 
-    @staticmethod
-    def plan(largest: int, threshold: float, miss: float = 1e-7, width: float = 0.67) -> tuple[int, int, float]:
-        """(depth, trees, distance at the threshold) for blocks of up to ``largest`` vectors."""
-        depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(largest, 1) / LEAF))))
-        far = math.sqrt(2 - 2 * threshold)
-        beyond = 2 * (math.exp(-width * width / 2) / math.sqrt(2 * math.pi) - width * 0.5 * math.erfc(width / math.sqrt(2)))
-        apart = 1 - (1 - min(0.9, far * beyond / math.sqrt(2 * math.pi))) ** depth
-        # Twice the trees that vectors spread evenly would need: clusters put more of them near a split.
-        trees = 1 if depth == 0 else max(4, 2 * math.ceil(math.log(miss) / math.log(apart)))
-        return depth, trees, far
+
+@dataclass(frozen=True)
+class Forest:
+    dim: int
+    margin: float
+    trees: list[Tree]
 
     @staticmethod
-    def fit(sample: np.ndarray, depth: int, trees: int, far: float, width: float = 0.67, seed: int = 11) -> Forest:
-        """From unit vectors, a row each."""
+    def fit(sample: np.ndarray, labels: np.ndarray, total: int, threshold: float = THRESHOLD, miss: float = 1e-7, seed: int = 11) -> Forest:
+        """From unit vectors, a row each, and their labels as codes; ``total``: the vectors that there are in all."""
         dim = sample.shape[1]
         rng = np.random.default_rng(seed)
-        margin = width * far / math.sqrt(max(dim, 1)) / 2
-        nodes = 2**depth - 1
-        directions, split = rng.standard_normal((trees, nodes, dim)), np.full((trees, nodes), np.nan)
-        directions /= np.maximum(np.linalg.norm(directions, axis=2, keepdims=True), 1e-300)
-        for t in range(trees):
-            inside = {0: np.arange(len(sample))} if nodes else {}
-            for v in range(nodes):
-                own = inside.pop(v, np.zeros(0, np.int64))
-                if len(own) < 16:
+        margin = WIDTH * math.sqrt(2 - 2 * threshold) / math.sqrt(max(dim, 1)) / 2
+        if not len(sample):
+            return Forest(dim, margin, [])
+        share = total / len(sample)
+        most = np.maximum(4 * np.sqrt(np.bincount(labels) * share) / share, LEAST)  # of each label in a leaf, in sampled vectors
+
+        def grow() -> tuple[Tree, int]:
+            directions = rng.standard_normal((LEVELS, dim))
+            directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-300)
+            split, child, depth = [math.nan], [0], 0
+            todo = [(0, 0, np.arange(len(sample)))]
+            while todo:
+                v, level, own = todo.pop()
+                count = np.bincount(labels[own], minlength=len(most))
+                main = int((count / most).argmax())
+                if count[main] <= most[main] or level == LEVELS:
                     continue
-                p = sample[own] @ directions[t, v]
-                m = float(np.median(p))
+                p = sample[own] @ directions[level]
+                m = float(np.median(p[labels[own] == main]))
                 if (np.abs(p - m) <= margin).mean() > 0.5:
                     continue  # too dense to part: a leaf
-                split[t, v] = m
-                inside[2 * v + 1], inside[2 * v + 2] = own[p <= m], own[p > m]
-        return Forest(dim, margin, directions, split)
+                split[v], child[v] = m, len(split)
+                split += [math.nan] * 2
+                child += [0, 0]
+                todo += [(child[v], level + 1, own[p <= m]), (child[v] + 1, level + 1, own[p > m])]
+                depth = max(depth, level + 1)
+            return Tree(directions[:depth], np.array(split), np.array(child)), depth
+
+        first, depth = grow()
+        return Forest(dim, margin, [first] + [grow()[0] for _ in range(trees_needed(depth, threshold, miss) - 1)] if depth else [])
 
     def leaves(self, x: np.ndarray) -> list[list[int]]:
-        """Codes of the leaves of each row of ``x``: tree << 16 | node, in rising order."""
+        """Codes of the leaves of each row of ``x``: tree << 16 | node, in rising order. Without trees, all meet in one leaf."""
         out: list[list[int]] = [[] for _ in range(len(x))]
-        for t in range(len(self.split)):
-            todo = [(0, np.arange(len(x)))]
+        for t, tree in enumerate(self.trees):
+            along = x @ tree.directions.T
+            todo = [(0, 0, np.arange(len(x)))]
             while todo:
-                v, own = todo.pop()
+                v, level, own = todo.pop()
                 if not len(own):
                     continue
-                if v >= self.split.shape[1] or math.isnan(self.split[t, v]):
+                if not tree.child[v]:
                     for k in own.tolist():
                         out[k].append(t << 16 | v)
                     continue
-                p = x[own] @ self.directions[t, v] - self.split[t, v]
-                todo += [(2 * v + 1, own[p <= self.margin]), (2 * v + 2, own[p >= -self.margin])]
-        return [sorted(c) for c in out]
+                p = along[own, level] - tree.split[v]
+                todo += [(tree.child[v], level + 1, own[p <= self.margin]), (tree.child[v] + 1, level + 1, own[p >= -self.margin])]
+        return [sorted(c) for c in out] if self.trees else [[0]] * len(x)
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -104,17 +128,26 @@ def unit(values: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def matrix(raw: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of ``_usable``, a row each."""
+    if len({len(r) for r in raw}) > 1:
+        return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8").astype(np.float64) for r in raw])
+    return np.frombuffer(b"".join(raw), "<f4" if len(raw[0]) == 4 * dim else "<f8").reshape(len(raw), dim)
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, k1, k2, vec): vec holds the components as little-endian doubles; unusable vectors have a null vec."""
+    """(vec_id, label, dim, k1, k2, vec): vec holds the components as little-endian floats where these are exact, else as doubles; unusable vectors have a null vec."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         vec, keys, dims = [], [], []
         for v in batch.column(1).to_pylist():
             x = None if not v or any(c is None for c in v) else np.array(v, "<f8") + 0.0
             ok = x is not None and bool(np.isfinite(x).all()) and bool((x != 0).any())
-            vec.append(x.tobytes() if ok else None)
+            with np.errstate(over="ignore"):
+                low = x.astype("<f4") if ok else None
+            vec.append((low if (low == x).all() else x).tobytes() if ok else None)
             dims.append(len(x) if ok else None)
-            keys.append(xxhash.xxh3_128_digest(vec[-1]) if ok else b"\0" * 16)
+            keys.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else b"\0" * 16)
         k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(dims, pa.int32()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(vec, pa.binary())], ["vec_id", "label", "dim", "k1", "k2", "vec"])
 
@@ -136,7 +169,7 @@ def _spread(reps: DataFrame, forest: Forest, label: str) -> DataFrame:
                 codes: list[list[int]] = [[0]] * batch.num_rows
                 own = np.flatnonzero(dims == forest.dim)
                 if len(own):
-                    found = forest.leaves(unit(np.frombuffer(b"".join([raw[i] for i in own]), "<f8").reshape(len(own), -1)))
+                    found = forest.leaves(unit(matrix([raw[i] for i in own], forest.dim)))
                     for i, c in zip(own.tolist(), found):
                         codes[i] = c
                 n = np.array([len(c) for c in codes])
@@ -165,7 +198,7 @@ def _compare(threshold: float):
         i, j, leaf = key[-2].as_py(), key[-1].as_py(), key[2].as_py()
         own = own.combine_chunks()
         ids, weight, tile = (own[c].to_numpy() for c in ("rep", "weight", "tile"))
-        x = unit(np.frombuffer(b"".join(own["vec"].to_pylist()), "<f8").reshape(len(ids), -1))
+        x = unit(matrix(own["vec"].to_pylist(), key[1].as_py()))
         links = _linked(x, threshold)
         if i != j:
             links &= tile[:, None] != tile[None, :]
@@ -219,13 +252,14 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     shape = reps.groupBy("label", "dim").count().agg(F.max(F.struct("count", "dim")).alias("x"), F.sum("count").alias("n")).first()
     if not shape["n"]:
         return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    depth, trees, far = Forest.plan(shape["x"]["count"], threshold, miss)
     dim = shape["x"]["dim"]
-    # The sample: at most SAMPLE vectors, drawn by a hash of the id.
+    # The sample: at most SAMPLE vectors, those of the least hashes.
     share = min(1.0, 2 * SAMPLE / shape["n"])
-    sample = reps.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("vec").limit(SAMPLE).collect() if depth else []
-    sample = unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), "<f8").reshape(len(sample), -1)) if sample else np.zeros((0, dim))
-    spread = scratch.put(_spread(reps, Forest.fit(sample, depth, trees, far), label), "spread")
+    draw = F.xxhash64("k1", "k2")
+    sample = reps.where((F.col("dim") == dim) & (F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("vec", "label", draw.alias("draw"), "rep").orderBy("draw", "rep").limit(SAMPLE).collect()
+    codes = {x: k for k, x in enumerate(dict.fromkeys(r["label"] for r in sample))}
+    forest = Forest.fit(unit(matrix([bytes(r["vec"]) for r in sample], dim)), np.array([codes[r["label"]] for r in sample]), shape["n"], threshold, miss)
+    spread = scratch.put(_spread(reps, forest, label), "spread")
     group = ["label", "dim", "leaf"]
     large = scratch.put(spread.groupBy(*group).count().where(F.col("count") > TILE).select(*group, F.ceil(F.col("count") / TILE).alias("tiles")), "large")
     if large.take(1):

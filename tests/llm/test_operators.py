@@ -411,8 +411,7 @@ def test_embeddings(spark):
 
 
 def test_embeddings_in_leaves_and_tiles(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "LEAF", 32)
-    monkeypatch.setattr(embedding_dedup, "TILE", 40)
+    monkeypatch.setattr(embedding_dedup, "TILE", 20)
     rng = np.random.default_rng(6)
     base = rng.standard_normal((60, 32))
     x = np.vstack([base[rng.integers(0, 60, 240)] + 0.15 * rng.standard_normal((240, 32)), base[0] + 0.1 * rng.standard_normal((60, 32))])
@@ -422,6 +421,42 @@ def test_embeddings_in_leaves_and_tiles(spark, monkeypatch):
     assert got == dict(enumerate(near.sum(1).tolist()))
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_embeddings_of_the_tables(spark, size):
+    """All links of the given tables, found through a forest that does split their labels."""
+    path = f"/root/testdata/{size}"
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], float)
+    u, labels = x / np.linalg.norm(x, axis=1)[:, None], np.array([r.label for r in rows])
+    forest = embedding_dedup.Forest.fit(u, labels, len(u))
+    assert len(forest.trees) >= 4
+    leaves = forest.leaves(u)
+    largest = max(Counter((int(k), c) for k, own in zip(labels, leaves) for c in own).values())
+    assert largest < max(Counter(labels.tolist()).values())  # no leaf is all of a label
+    near = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :]) & ~np.eye(len(u), dtype=bool)
+    # Partners at the very threshold, a random one for each vector: recall through the forest alone.
+    away = np.random.default_rng(2).standard_normal(u.shape)
+    away -= (away * u).sum(1)[:, None] * u
+    partner = 0.93 * u + math.sqrt(1 - 0.93**2) * away / np.linalg.norm(away, axis=1)[:, None]
+    assert np.mean([bool(set(a) & set(b)) for a, b in zip(leaves, forest.leaves(partner))]) == 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.op8_embedding_near_dedup(spark, path).collect()}
+    assert got == {r.vec_id: n for r, n in zip(rows, near.sum(1).tolist())}
+
+
+def test_forest_of_many_vectors():
+    """Recall of pairs at the threshold, among clusters and apart from them."""
+    rng = np.random.default_rng(8)
+    base = np.concatenate([rng.standard_normal((6000, 64)), rng.standard_normal((20, 64))[rng.integers(0, 20, 6000)] + 0.5 * rng.standard_normal((6000, 64))])
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    away = rng.standard_normal(base.shape)
+    away -= (away * base).sum(1)[:, None] * base
+    other = 0.93 * base + math.sqrt(1 - 0.93**2) * away / np.linalg.norm(away, axis=1)[:, None]
+    forest = embedding_dedup.Forest.fit(np.concatenate([base, other])[::3], np.zeros(8000, int), 24_000)
+    assert max(len(t.directions) for t in forest.trees) >= 4
+    met = [bool(set(a) & set(b)) for a, b in zip(forest.leaves(base), forest.leaves(other))]
+    assert np.mean(met) == 1
+
+
 # SentencePiece.
 
 
