@@ -7,16 +7,20 @@ symbol named by the two. What happens to a symbol depends on it and its neighbou
 symbol carries the *reach* of words that it depends on: wherever these words stand, the same symbol
 arises. Equal substrings so have equal symbols inside.
 
-A window of ``window`` words is anchored at the longest symbol whose reach lies inside it (ties: the
-largest name), or at its own name if there is none (within runs). Equal windows have equal anchors,
-and a few neighbouring windows share one, so that about one anchor in five words is exchanged:
-
-1. Spark counts the documents of each anchor and keeps the anchors of two or more.
-2. A second scan gives out the windows at shared anchors (a filter of the shared anchors goes to the
-   executors while it is small; beyond FILTER_BYTES, a join does this), and the exact check follows:
-   of the windows that are equal, those in any but the smallest document are repeats.
+A window of ``window`` words is anchored at a symbol whose reach lies inside it: one of SPAN words or
+more, or else the longest (ties: the largest name), or at its own name if there is none (within runs).
+Equal windows have equal anchors, and neighbouring windows share one, so that about one anchor in four
+words is exchanged. One road at every size:
+
+1. Spark finds the anchors that two documents have.
+2. A document's shared anchors are joined to it, and it gives out the windows at these; the exact check
+   follows: the smallest document of each window is joined to the windows, and those in any other are
+   repeats. Windows are compared by anchor and name together.
 3. Words that a repeat covers are cut out of the text.
 
+Anchors and windows that very many documents have are summed before they are shuffled, and the joins
+have the many rows of a key on one side only, where Spark splits them.
+
 Defined results: null, empty and short texts have no window; rows with a null doc_id lose nothing and
 cause no loss; rows that share a doc_id never count as each other's repeats, and word positions found
 in one of them are cut from each; extra columns pass through.
@@ -24,26 +28,18 @@ in one of them are cut from each; extra columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, free_name, map_batches, partitions_of, text_bytes
+from ._common import Scratch, free_name, map_batches, text_bytes
 from ._words import mix, windows, word_runs
 
 WINDOW, ROUNDS = 13, 5
-#: A filter of shared anchors of this many bytes in all is sent to every executor; beyond, anchors are joined.
-FILTER_BYTES = 48 << 20
-FILTER_SHARD_KEYS = 1 << 19
-#: An anchor is hot if it holds one part in this many, a shuffle partition, of all (anchor, document) rows; so there are few.
-HOT_SHARE = 4
-HOT_LEAST = 1_000
-#: Windows at a hot anchor are dealt over this many tasks.
-SALTS = 64
-_SPAN_SHIFT = np.uint64(58)
+#: Symbols of this many words are long enough: among them the name decides. Longer ones would change from window to window more often.
+SPAN = 3
+_SPAN_SHIFT = np.uint64(62)
 
 
 def anchors(names: np.ndarray, split: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +54,7 @@ def anchors(names: np.ndarray, split: np.ndarray, window: int = WINDOW, rounds:
     best = np.zeros(total, np.uint64)
 
     def offer(name: np.ndarray, low: np.ndarray, high: np.ndarray, span: np.ndarray) -> None:
-        rank = (np.minimum(span, 63).astype(np.uint64) << _SPAN_SHIFT) | (name >> np.uint64(6))
+        rank = (np.minimum(span, SPAN).astype(np.uint64) << _SPAN_SHIFT) | (name >> np.uint64(2))
         spare = window - 1 - (high - low)
         for t in range(window):
             fits = spare >= t
@@ -109,7 +105,7 @@ def anchors(names: np.ndarray, split: np.ndarray, window: int = WINDOW, rounds:
     anchor = best[split[:-1][text] + first + text + 1]
     bare = anchor == 0
     if bare.any():
-        anchor[bare] = window_names(names, split, text[bare], first[bare], window) >> np.uint64(6)
+        anchor[bare] = window_names(names, split, text[bare], first[bare], window) >> np.uint64(2)
     return first, text, anchor
 
 
@@ -135,192 +131,60 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "anchor long, doc long")
 
 
-class _Bits:
-    """A Bloom filter of 64-bit names: four bits a name, in a power of two of them."""
-
-    def __init__(self, n_bits: int, bits: np.ndarray | None = None):
-        self.n, self.bits = n_bits, np.zeros(n_bits >> 3, np.uint8) if bits is None else bits
-
-    @classmethod
-    def of(cls, keys: np.ndarray) -> _Bits:
-        n = 64
-        while n < 10 * len(keys):
-            n *= 2
-        out = cls(n)
-        for at in out._at(keys):
-            np.bitwise_or.at(out.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return out
-
-    def _at(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        h = mix(keys.view(np.uint64))
-        step = mix(h) | np.uint64(1)
-        for k in range(4):
-            yield ((h + step * np.uint64(k)) & np.uint64(self.n - 1)).astype(np.int64)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for at in self._at(keys):
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return out
-
-
-class _Sharded:
-    def __init__(self, shards: dict[int, tuple[int, bytes]], n: int):
-        self.n, self.of = n, {s: _Bits(size, np.frombuffer(bits, np.uint8)) for s, (size, bits) in shards.items()}
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        if self.n == 1:
-            return self.of[0].has(keys) if 0 in self.of else np.zeros(len(keys), bool)
-        shard, out = np.mod(keys.view(np.int64), self.n), np.zeros(len(keys), bool)
-        for s, bits in self.of.items():
-            at = np.flatnonzero(shard == s)
-            out[at] = bits.has(keys[at])
-        return out
-
-
-def _filter_rows(shared: DataFrame, n: int) -> DataFrame:
-    def build(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        made = _Bits.of(group["anchor"].combine_chunks().to_numpy(zero_copy_only=False))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([made.n], pa.int64()), "bits": pa.array([made.bits.tobytes()], pa.binary())})
-
-    return shared.select(F.pmod("anchor", F.lit(n)).cast("int").alias("shard"), "anchor").groupBy("shard").applyInArrow(build, "shard int, size long, bits binary")
-
-
-WINDOW_ROWS = "anchor long, name long, salt int, doc long, first int"
-
-
-def _window_batch(ids: np.ndarray, column: pa.Array, window: int, shared, hot: np.ndarray) -> pa.RecordBatch:
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    for begin, _, names, split, _, _ in word_runs(column):
-        first, text, anchor = anchors(names, split, window)
-        if not len(text):
-            continue
-        keep = np.flatnonzero(shared(begin, text, anchor.view(np.int64)))
-        first, text, anchor = first[keep], text[keep], anchor[keep]
-        name = window_names(names, split, text, first, window)
-        doc = ids[begin + text]
-        salt = np.where(np.isin(anchor.view(np.int64), hot), (mix(doc.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), np.int32(0)) if len(hot) else np.zeros(len(doc), np.int32)
-        for part, values in zip(parts, (anchor.view(np.int64), name.view(np.int64), salt, doc, first.astype(np.int32))):
-            part.append(values)
-    empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else e) for p, e in zip(parts, empty)], ["anchor", "name", "salt", "doc", "first"])
-
-
-def _windows_by_filter(docs: DataFrame, shards: dict[int, tuple[int, bytes]], n: int, window: int, hot: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(shards)
+WINDOW_ROWS = "anchor long, name long, doc long, first int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _Sharded(sent.value, n)
-        for batch in batches:
-            out = _window_batch(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), window, lambda _b, _t, a: bits.has(a), hot)
-            if out.num_rows:
-                yield out
 
-    return docs.select("doc_id", "text").mapInArrow(run, WINDOW_ROWS)
+def _keyed(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return anchor.view(np.uint64) ^ mix(text.astype(np.uint64) + np.uint64(1))
 
 
-def _windows_by_join(docs: DataFrame, shared: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
-    """The same without a filter: a document's shared anchors are joined to it."""
-    own = _anchor_rows(docs, window).join(shared.select("anchor"), "anchor", "left_semi")
-    lists = own.distinct().groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
-    joined = docs.select("doc_id", "text").join(lists.hint("merge"), F.col("doc_id") == F.col("doc"))
+def _window_rows(docs: DataFrame, window: int) -> DataFrame:
+    """WINDOW_ROWS of documents (doc_id, text, anchors), at these anchors."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [np.sort(np.array(x, np.int64)) for x in batch.column(2).to_pylist()]
-
-        def has(begin: int, text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(text), bool)
-            for k in np.unique(text):
-                at = np.flatnonzero(text == k)
-                out[at] = np.isin(anchor[at], lists[begin + k])
-            return out
-
-        return _window_batch(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), window, has, hot)
-
-    return map_batches(joined.select("doc_id", "text", "anchors"), run, WINDOW_ROWS)
-
-
-BLOCKS = "doc long, block int, mask long"
-
-
-def _blocks(doc: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-    """Repeats as bits: window first of document doc is bit first % 64 of its block first / 64."""
-    block, bit = first >> 6, np.uint64(1) << (first & 63).astype(np.uint64)
-    order = np.lexsort((block, doc))
-    doc, block, bit = doc[order], block[order], bit[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])
-    at = np.flatnonzero(new)
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(block[at].astype(np.int32)), pa.array(np.bitwise_or.reduceat(bit, at).view(np.int64))], ["doc", "block", "mask"])
-
-
-#: Repeats as BLOCKS; or, with a null block, a salted window of its salt's smallest document.
-FOUND = BLOCKS + ", anchor long, name long, first int"
-
-
-def _repeats(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """FOUND of the windows that a smaller document (of the same salt) has too.
-
-    Equal windows meet in one task in the order of their documents and stream by. Of hot anchors, each
-    salt also gives out the windows of its smallest document, which are compared once more over all salts.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (anchor, name, salt, smallest document)
-        for batch in batches:
-            a, w, s, d, first = (batch.column(k).to_numpy() for k in range(5))
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1])
-            heads = np.flatnonzero(new)
-            least = d[heads].copy()
-            if last is not None and (a[0], w[0], s[0]) == last[:3]:
-                least[0] = last[3]
-            last = (a[-1], w[-1], s[-1], least[-1])
-            late = d > np.repeat(least, np.diff(np.append(heads, len(a))))
-            gone = np.flatnonzero(late)
-            if len(gone):
-                out = _blocks(d[gone], first[gone].astype(np.int64))
-                none = pa.nulls(out.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*out.columns, none, none, pa.nulls(out.num_rows, pa.int32())], ["doc", "block", "mask", "anchor", "name", "first"])
-            if len(hot):
-                kept = np.flatnonzero(~late & np.isin(a, hot))
-                if len(kept):
-                    yield pa.RecordBatch.from_arrays([pa.array(d[kept]), pa.nulls(len(kept), pa.int32()), pa.nulls(len(kept), pa.int64()), pa.array(a[kept]), pa.array(w[kept]), pa.array(first[kept])], ["doc", "block", "mask", "anchor", "name", "first"])
-
-    n = partitions_of(rows.sparkSession)
-    return rows.repartition(n, "anchor", "name", "salt").sortWithinPartitions("anchor", "name", "salt", "doc").mapInArrow(run, FOUND)
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+        ids, lists = batch.column(0).to_numpy(), batch.column(2)
+        ends, listed = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int32)]
+        for begin, end, names, split, _, _ in word_runs(batch.column(1)):
+            first, text, anchor = anchors(names, split, window)
+            # Text and anchor in one number; what is let through by chance has no partner later.
+            own = slice(ends[begin] - ends[0], ends[end] - ends[0])
+            keys = np.sort(_keyed(np.repeat(np.arange(end - begin), np.diff(ends[begin : end + 1])), listed[own]))
+            asked = _keyed(text, anchor)
+            keep = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked) if len(keys) else np.zeros(0, np.int64)
+            first, text, anchor = first[keep], text[keep], anchor[keep]
+            name = window_names(names, split, text, first, window) if len(keep) else anchor
+            for part, values in zip(parts, (anchor.view(np.int64), name.view(np.int64), ids[begin + text], first.astype(np.int32))):
+                part.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["anchor", "name", "doc", "first"])
+
+    return map_batches(docs.select("doc_id", "text", "anchors"), run, WINDOW_ROWS)
+
+
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, cuts): for documents that have any, the windows that a smaller document has too, as pairs (block, 64 bits)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = _anchor_rows(own, window).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", "n")
-    shared = scratch.put(counts, "shared")
-    del counts
+    rows = scratch.put(_anchor_rows(own, window), "anchors")
+    # Written before they are joined: the joins then read plain shuffles, of which Spark can split a hot key's.
+    shared = scratch.put(rows.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"), "shared")
+    scratch.release()
+    # A document's anchors: no more than it has words.
+    lists = scratch.put(rows.join(shared.hint("merge"), "anchor").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "lists")
+    scratch.drop("anchors", "shared")
     scratch.release()
-    n_shared, total = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # Each holds that share of the rows, so there are at most HOT_SHARE a partition.
-    hot = np.array([r["anchor"] for r in shared.where(F.col("n") > max(HOT_LEAST, total // (HOT_SHARE * partitions_of(spark)))).select("anchor").collect()], np.int64)
-    shards = max(1, -(-n_shared // FILTER_SHARD_KEYS))
-    small = shards * FILTER_SHARD_KEYS * 2.5 <= max(filter_bytes, 0)
-    if small:
-        parts = scratch.put(_filter_rows(shared, shards), "filter")
-        rows = _windows_by_filter(own, {r["shard"]: (r["size"], bytes(r["bits"])) for r in parts.collect()}, shards, window, hot)
-    else:
-        rows = _windows_by_join(own, shared, window, hot)
-    found = scratch.put(_repeats(rows, hot), "found")
-    del rows
+    found = scratch.put(_window_rows(own.join(lists.hint("merge"), F.col("doc_id") == F.col("doc")), window), "windows")
+    scratch.drop("lists")
     scratch.release()
-    blocks = found.where("block is not null").select("doc", "block", "mask")
-    if len(hot):
-        again = found.where("block is null").select("anchor", "name", F.lit(0).alias("salt"), "doc", "first")
-        blocks = blocks.unionByName(_repeats(again, np.zeros(0, np.int64)).select("doc", "block", "mask"))
+    least = scratch.put(found.groupBy("anchor", "name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor", "name", "low"), "least")
+    scratch.release()
+    # Repeats as bits: window first of a document is bit first % 64 of its block first / 64.
+    late = found.join(least.hint("merge"), ["anchor", "name"]).where("doc > low").select("doc", F.expr("first div 64").cast("int").alias("block"), F.expr("shiftleft(1L, first % 64)").alias("bit"))
+    masks = late.groupBy("doc", "block").agg(F.bit_or("bit").alias("mask"))
     # A document's blocks: no more than its own words over 64.
-    masks = blocks.groupBy("doc", "block").agg(F.bit_or("mask").alias("mask"))
     cuts = scratch.put(masks.groupBy("doc").agg(F.collect_list(F.struct("block", "mask")).alias("cuts")), "cuts")
-    scratch.drop("shared", "filter", "found")
+    scratch.drop("windows", "least")
+    scratch.release()
     return cuts
 
 
@@ -335,7 +199,7 @@ def _covered(cuts: list[dict] | None, n_words: int, window: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, joined_words: bool = False, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, joined_words: bool = False) -> DataFrame:
     """``docs`` with the repeats cut out of ``text``, and n_words and n_removed (long).
 
     What is left keeps its white space; a cut takes the white space after its last word along. With
@@ -344,7 +208,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, joined_words: bool =
     """
     taken = docs.columns
     n_words, n_removed, cuts, same = (free_name(taken, c) for c in ("n_words", "n_removed", "lw_cuts", "lw_doc"))
-    found = repeats(docs, window, filter_bytes).withColumnsRenamed({"doc": same, "cuts": cuts})
+    found = repeats(docs, window).withColumnsRenamed({"doc": same, "cuts": cuts})
     # The cuts grow with the corpus: always a merge join.
     joined = docs.join(found.hint("merge"), docs["doc_id"].cast("long") == found[same], "left").drop(same)
     at = taken.index("text")

@@ -293,16 +293,24 @@ def brute_substrings(rows, window=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("road", ["filter", "join", "hot"])
-def test_substrings(edges, road, monkeypatch):
+def test_substrings(edges):
     rows = [(r.doc_id, r.text) for r in edges.collect()]
-    if road == "hot":
-        monkeypatch.setattr(substring_dedup, "HOT_LEAST", 1)
-        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 10**9)
-    got = substring_dedup.dedup_substrings(edges, joined_words=True, filter_bytes=0 if road == "join" else substring_dedup.FILTER_BYTES).collect()
+    got = substring_dedup.dedup_substrings(edges, joined_words=True).collect()
     assert sorted((str(r.doc_id), r._n_words, r.n_removed, r.text or "") for r in got) == brute_substrings(rows)
 
 
+def test_substrings_of_many_documents(spark):
+    """One passage in most documents, runs of a word in others, and passages that two share."""
+    r = random.Random(11)
+    prose = lambda n: " ".join(r.choice(["a", "b", "c", "dd", "ee", "é", "日本"]) + str(r.randint(0, 60)) for _ in range(n))
+    hot, pairs = prose(30), [prose(20) for _ in range(40)]
+    rows = [(k, f"{prose(r.randint(0, 30))} {hot if k % 3 else 'run ' * (k % 40)} {pairs[k % 40]} {prose(9)}") for k in range(300)]
+    rows += [(1000, " ".join(prose(5000).split() + hot.split() * 3))]
+    r.shuffle(rows)
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), joined_words=True).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.text) for x in got) == brute_substrings(rows)
+
+
 def test_substrings_keep_white_space(edges):
     for r in substring_dedup.dedup_substrings(edges).join(edges.select("doc_id", F.col("text").alias("was")).distinct(), "doc_id").collect():
         if not r.n_removed:
