@@ -7,20 +7,19 @@ symbol named by the two. What happens to a symbol depends on it and its neighbou
 symbol carries the *reach* of words that it depends on: wherever these words stand, the same symbol
 arises. Equal substrings so have equal symbols inside.
 
-A window of ``window`` words is anchored at a symbol whose reach lies inside it: one of SPAN words or
-more, or else the longest (ties: the largest name), or at its own name if there is none (within runs).
-Equal windows have equal anchors, and neighbouring windows share one, so that about one anchor in four
-words is exchanged. One road at every size:
+A window of ``window`` words is anchored at the longest symbol whose reach lies inside it (ties: the
+largest name), or at its own name if there is none (within runs). Equal windows have equal anchors, and
+a few neighbouring windows share one. One road at every size:
 
-1. Spark finds the anchors that two documents have.
+1. Anchors are dealt out by name, and those that two documents have go back to their documents. An anchor
+   that documents of one batch share is known to be shared there: its rows go straight on, and one row
+   stands for them, so that no anchor has more rows in a task than there are batches.
 2. A document's shared anchors are joined to it, and it gives out the windows at these; the exact check
-   follows: the smallest document of each window is joined to the windows, and those in any other are
-   repeats. Windows are compared by anchor and name together.
+   follows. A batch keeps the smallest document of a window only, since in the others it is a repeat; the
+   windows kept are dealt out by name, and in any but the smallest document they are repeats. Windows are
+   compared by anchor and name together.
 3. Words that a repeat covers are cut out of the text.
 
-Anchors and windows that very many documents have are summed before they are shuffled, and the joins
-have the many rows of a key on one side only, where Spark splits them.
-
 Defined results: null, empty and short texts have no window; rows with a null doc_id lose nothing and
 cause no loss; rows that share a doc_id never count as each other's repeats, and word positions found
 in one of them are cut from each; extra columns pass through.
@@ -28,18 +27,20 @@ in one of them are cut from each; extra columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, free_name, map_batches, text_bytes
+from ._common import Scratch, free_name, map_batches, partitions_of, text_bytes
 from ._words import mix, windows, word_runs
 
 WINDOW, ROUNDS = 13, 5
-#: Symbols of this many words are long enough: among them the name decides. Longer ones would change from window to window more often.
-SPAN = 3
-_SPAN_SHIFT = np.uint64(62)
+#: Anchors or windows of a batch: what is known within one is combined before the shuffle.
+BATCH = 1 << 21
+_SPAN_SHIFT = np.uint64(58)
 
 
 def anchors(names: np.ndarray, split: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +55,7 @@ def anchors(names: np.ndarray, split: np.ndarray, window: int = WINDOW, rounds:
     best = np.zeros(total, np.uint64)
 
     def offer(name: np.ndarray, low: np.ndarray, high: np.ndarray, span: np.ndarray) -> None:
-        rank = (np.minimum(span, SPAN).astype(np.uint64) << _SPAN_SHIFT) | (name >> np.uint64(2))
+        rank = (np.minimum(span, 63).astype(np.uint64) << _SPAN_SHIFT) | (name >> np.uint64(6))
         spare = window - 1 - (high - low)
         for t in range(window):
             fits = spare >= t
@@ -105,7 +106,7 @@ def anchors(names: np.ndarray, split: np.ndarray, window: int = WINDOW, rounds:
     anchor = best[split[:-1][text] + first + text + 1]
     bare = anchor == 0
     if bare.any():
-        anchor[bare] = window_names(names, split, text[bare], first[bare], window) >> np.uint64(2)
+        anchor[bare] = window_names(names, split, text[bare], first[bare], window) >> np.uint64(6)
     return first, text, anchor
 
 
@@ -113,25 +114,81 @@ def window_names(names: np.ndarray, split: np.ndarray, text: np.ndarray, first:
     return windows(names, window)[split[:-1][text] + first]
 
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys, out = batch.column(0).to_numpy(zero_copy_only=False), [], []
-        for first, _, names, split, _, _ in word_runs(batch.column(1)):
-            _, text, anchor = anchors(names, split, window)
-            if not len(text):
-                continue
-            order = np.lexsort((anchor, text))
-            a, t = anchor[order], text[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
-            keys.append(a[new].view(np.int64))
-            out.append(ids[first + t[new]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["anchor", "doc"])
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; at least one row is needed."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
 
-    return map_batches(docs.select("doc_id", "text"), run, "anchor long, doc long")
+#: kind: DONE needs no partner any more; ONE may find one in its task; SEVERAL (of anchors) stands for rows that are DONE.
+DONE, ONE, SEVERAL = 0, 1, 2
+ANCHOR_ROWS = "anchor long, doc long, kind int"
 
 
-WINDOW_ROWS = "anchor long, name long, doc long, first int"
+def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
+    def combined(anchor: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((doc, anchor))
+        anchor, doc = anchor[order], doc[order]
+        once = _heads(anchor, doc)
+        anchor, doc = anchor[once], doc[once]
+        head = _heads(anchor)
+        size = np.diff(np.append(head, len(anchor)))
+        more = head[size > 1]
+        kind = np.repeat(np.where(size > 1, DONE, ONE), size)
+        columns = (np.concatenate([anchor, anchor[more]]), np.concatenate([doc, doc[more]]), np.concatenate([kind, np.full(len(more), SEVERAL)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "doc", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for begin, _, names, split, _, _ in word_runs(batch.column(1)):
+                _, text, anchor = anchors(names, split, window)
+                if len(text):
+                    at = _heads(anchor, text)
+                    parts.append((anchor[at].view(np.int64), ids[begin + text[at]]))
+                if sum(len(p[0]) for p in parts) >= BATCH:
+                    yield combined(*map(np.concatenate, zip(*parts)))
+                    parts = []
+        if parts:
+            yield combined(*map(np.concatenate, zip(*parts)))
+
+    return docs.select("doc_id", "text").mapInArrow(run, ANCHOR_ROWS)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(doc, anchor) of the anchors that two documents have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the anchor at the end of the batch before: name, a document, whether it is shared
+        for batch in batches:
+            anchor, doc, kind = (batch.column(k).to_numpy() for k in range(3))
+            out = [(doc[kind == DONE], anchor[kind == DONE])]
+            at = np.flatnonzero(kind != DONE)
+            if len(at):
+                a, d, k = anchor[at], doc[at], kind[at]
+                head = _heads(a)
+                size = np.diff(np.append(head, len(a)))
+                shared = (np.maximum.reduceat(k, head) == SEVERAL) | (np.maximum.reduceat(d, head) != np.minimum.reduceat(d, head))
+                if last is not None and last[0] == a[0]:
+                    if last[2]:
+                        shared[0] = True
+                    elif shared[0] or d[0] != last[1]:
+                        shared[0] = True
+                        out.append((np.array([last[1]]), np.array([last[0]])))
+                keep = np.repeat(shared, size) & (k == ONE)
+                out.append((d[keep], a[keep]))
+                last = (a[-1], d[-1], shared[-1])
+            doc, anchor = map(np.concatenate, zip(*out))
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor)], ["doc", "anchor"])
+
+    dealt = rows.repartition(partitions_of(rows.sparkSession), F.when(F.col("kind") == DONE, F.xxhash64("doc")).otherwise(F.col("anchor")))
+    return dealt.sortWithinPartitions("anchor", "doc").mapInArrow(run, "doc long, anchor long")
+
+
+WINDOW_ROWS = "name long, anchor long, doc long, block int, mask long, kind int"
 
 
 def _keyed(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -139,51 +196,91 @@ def _keyed(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """WINDOW_ROWS of documents (doc_id, text, anchors), at these anchors."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, lists = batch.column(0).to_numpy(), batch.column(2)
-        ends, listed = lists.offsets.to_numpy(), lists.flatten().to_numpy()
-        parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int32)]
-        for begin, end, names, split, _, _ in word_runs(batch.column(1)):
-            first, text, anchor = anchors(names, split, window)
-            # Text and anchor in one number; what is let through by chance has no partner later.
-            own = slice(ends[begin] - ends[0], ends[end] - ends[0])
-            keys = np.sort(_keyed(np.repeat(np.arange(end - begin), np.diff(ends[begin : end + 1])), listed[own]))
-            asked = _keyed(text, anchor)
-            keep = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked) if len(keys) else np.zeros(0, np.int64)
-            first, text, anchor = first[keep], text[keep], anchor[keep]
-            name = window_names(names, split, text, first, window) if len(keep) else anchor
-            for part, values in zip(parts, (anchor.view(np.int64), name.view(np.int64), ids[begin + text], first.astype(np.int32))):
-                part.append(values)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["anchor", "name", "doc", "first"])
-
-    return map_batches(docs.select("doc_id", "text", "anchors"), run, WINDOW_ROWS)
+    """WINDOW_ROWS of documents (doc_id, text, anchors), at these anchors. Window first of a document is bit first % 64 of its block first / 64."""
+
+    def combined(name: np.ndarray, anchor: np.ndarray, doc: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        block, bit = (first >> 6).astype(np.int32), np.uint64(1) << (first & 63).astype(np.uint64)
+        order = np.lexsort((block, doc, anchor, name))
+        name, anchor, doc, block, bit = (x[order] for x in (name, anchor, doc, block, bit))
+        head = _heads(name, anchor)
+        late = doc > np.repeat(doc[head], np.diff(np.append(head, len(doc))))
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for kind, own in ((ONE, np.flatnonzero(~late)), (DONE, np.flatnonzero(late))):
+            if not len(own):
+                continue
+            n, a, d, b, m = (x[own] for x in (name, anchor, doc, block, bit))
+            if kind == DONE:  # only the document's own places matter from here
+                order = np.lexsort((b, d))
+                d, b, m = d[order], b[order], m[order]
+                n, a = mix(d.view(np.uint64)).view(np.int64), np.zeros(len(d), np.int64)
+            at = _heads(n, a, d, b)
+            for column, values in zip(columns, (n[at], a[at], d[at], b[at], np.bitwise_or.reduceat(m, at).view(np.int64), np.full(len(at), kind, np.int32))):
+                column.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["name", "anchor", "doc", "block", "mask", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(2)
+            ends, listed = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            for begin, end, names, split, _, _ in word_runs(batch.column(1)):
+                first, text, anchor = anchors(names, split, window)
+                # Text and anchor in one number; what is let through by chance has no partner later.
+                own = listed[ends[begin] - ends[0] : ends[end] - ends[0]]
+                keys = np.sort(_keyed(np.repeat(np.arange(end - begin), np.diff(ends[begin : end + 1])), own))
+                asked = _keyed(text, anchor)
+                keep = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked) if len(keys) else []
+                if len(keep):
+                    first, text, anchor = first[keep], text[keep], anchor[keep]
+                    name = window_names(names, split, text, first, window)
+                    parts.append((name.view(np.int64), anchor.view(np.int64), ids[begin + text], first))
+                if sum(len(p[0]) for p in parts) >= BATCH:
+                    yield combined(*map(np.concatenate, zip(*parts)))
+                    parts = []
+        if parts:
+            yield combined(*map(np.concatenate, zip(*parts)))
+
+    return docs.select("doc_id", "text", "anchors").mapInArrow(run, WINDOW_ROWS)
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """(doc, block, mask) of the windows that a smaller document has too: equal ones stream by in the order of their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the window at the end of the batch before: name, anchor, smallest document
+        for batch in batches:
+            name, anchor, doc, kind = (batch.column(k).to_numpy() for k in (0, 1, 2, 5))
+            gone = kind == DONE
+            at = np.flatnonzero(~gone)
+            if len(at):
+                n, a, d = name[at], anchor[at], doc[at]
+                head = _heads(n, a)
+                least = d[head].copy()
+                if last is not None and (n[0], a[0]) == last[:2]:
+                    least[0] = last[2]
+                last = (n[-1], a[-1], least[-1])
+                gone[at] = d > np.repeat(least, np.diff(np.append(head, len(d))))
+            if gone.any():
+                yield batch.select(["doc", "block", "mask"]).filter(pa.array(gone))
+
+    dealt = rows.repartition(partitions_of(rows.sparkSession), F.when(F.col("kind") == DONE, F.xxhash64("doc")).otherwise(F.col("name")))
+    return dealt.sortWithinPartitions("name", "anchor", "doc").mapInArrow(run, "doc long, block int, mask long")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, cuts): for documents that have any, the windows that a smaller document has too, as pairs (block, 64 bits)."""
     scratch = Scratch(docs.sparkSession)
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.put(_anchor_rows(own, window), "anchors")
-    # Written before they are joined: the joins then read plain shuffles, of which Spark can split a hot key's.
-    shared = scratch.put(rows.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor"), "shared")
-    scratch.release()
     # A document's anchors: no more than it has words.
-    lists = scratch.put(rows.join(shared.hint("merge"), "anchor").groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "lists")
-    scratch.drop("anchors", "shared")
+    lists = scratch.put(_shared(_anchor_rows(own, window)).groupBy("doc").agg(F.collect_list("anchor").alias("anchors")), "lists")
     scratch.release()
-    found = scratch.put(_window_rows(own.join(lists.hint("merge"), F.col("doc_id") == F.col("doc")), window), "windows")
+    found = scratch.put(_repeats(_window_rows(own.join(lists.hint("merge"), F.col("doc_id") == F.col("doc")), window)), "found")
     scratch.drop("lists")
     scratch.release()
-    least = scratch.put(found.groupBy("anchor", "name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor", "name", "low"), "least")
-    scratch.release()
-    # Repeats as bits: window first of a document is bit first % 64 of its block first / 64.
-    late = found.join(least.hint("merge"), ["anchor", "name"]).where("doc > low").select("doc", F.expr("first div 64").cast("int").alias("block"), F.expr("shiftleft(1L, first % 64)").alias("bit"))
-    masks = late.groupBy("doc", "block").agg(F.bit_or("bit").alias("mask"))
+    masks = found.groupBy("doc", "block").agg(F.bit_or("mask").alias("mask"))
     # A document's blocks: no more than its own words over 64.
     cuts = scratch.put(masks.groupBy("doc").agg(F.collect_list(F.struct("block", "mask")).alias("cuts")), "cuts")
-    scratch.drop("windows", "least")
+    scratch.drop("found")
     scratch.release()
     return cuts
 

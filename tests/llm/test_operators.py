@@ -293,14 +293,20 @@ def brute_substrings(rows, window=13):
     return sorted(out)
 
 
-def test_substrings(edges):
+@pytest.mark.parametrize("batch", [1, 1 << 21])
+def test_substrings(edges, batch, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BATCH", batch)
     rows = [(r.doc_id, r.text) for r in edges.collect()]
     got = substring_dedup.dedup_substrings(edges, joined_words=True).collect()
     assert sorted((str(r.doc_id), r._n_words, r.n_removed, r.text or "") for r in got) == brute_substrings(rows)
 
 
-def test_substrings_of_many_documents(spark):
-    """One passage in most documents, runs of a word in others, and passages that two share."""
+@pytest.mark.parametrize("batch", [1, 1 << 21])
+def test_substrings_of_many_documents(spark, batch, monkeypatch):
+    """One passage in most documents, runs of a word in others, and passages that two share; Arrow batches of three rows."""
+    monkeypatch.setattr(substring_dedup, "BATCH", batch)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     r = random.Random(11)
     prose = lambda n: " ".join(r.choice(["a", "b", "c", "dd", "ee", "é", "日本"]) + str(r.randint(0, 60)) for _ in range(n))
     hot, pairs = prose(30), [prose(20) for _ in range(40)]
@@ -308,6 +314,7 @@ def test_substrings_of_many_documents(spark):
     rows += [(1000, " ".join(prose(5000).split() + hot.split() * 3))]
     r.shuffle(rows)
     got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), joined_words=True).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.text) for x in got) == brute_substrings(rows)
 
 
