@@ -51,8 +51,9 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of steps whose results are written. It does so when the driver's
-        garbage is collected, which may otherwise take longer than a run."""
+        garbage is collected, which may otherwise take longer than a run; the last query is held until the next."""
         gc.collect()
+        self.spark.range(1).write.format("noop").mode("overwrite").save()
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
