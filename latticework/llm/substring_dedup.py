@@ -17,7 +17,7 @@ a few neighbouring windows share one. One road at every size:
 2. A document's shared anchors are joined to it, and it gives out the windows at these; the exact check
    follows. A batch keeps the smallest document of a window only, since in the others it is a repeat; the
    windows kept are dealt out by name, and in any but the smallest document they are repeats. Windows are
-   compared by anchor and name together.
+   compared by 64 bits of name and 32 of anchor together.
 3. Words that a repeat covers are cut out of the text.
 
 Defined results: null, empty and short texts have no window; rows with a null doc_id lose nothing and
@@ -188,7 +188,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("anchor", "doc").mapInArrow(run, "doc long, anchor long")
 
 
-WINDOW_ROWS = "name long, anchor long, doc long, block int, mask long, kind int"
+WINDOW_ROWS = "name long, anchor int, doc long, block int, mask long, kind int"
 
 
 def _keyed(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
             if kind == DONE:  # only the document's own places matter from here
                 order = np.lexsort((b, d))
                 d, b, m = d[order], b[order], m[order]
-                n, a = mix(d.view(np.uint64)).view(np.int64), np.zeros(len(d), np.int64)
+                n, a = d, np.zeros(len(d), np.int32)
             at = _heads(n, a, d, b)
             for column, values in zip(columns, (n[at], a[at], d[at], b[at], np.bitwise_or.reduceat(m, at).view(np.int64), np.full(len(at), kind, np.int32))):
                 column.append(values)
@@ -233,7 +233,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
                 if len(keep):
                     first, text, anchor = first[keep], text[keep], anchor[keep]
                     name = window_names(names, split, text, first, window)
-                    parts.append((name.view(np.int64), anchor.view(np.int64), ids[begin + text], first))
+                    parts.append((name.view(np.int64), (anchor >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[begin + text], first))
                 if sum(len(p[0]) for p in parts) >= BATCH:
                     yield combined(*map(np.concatenate, zip(*parts)))
                     parts = []
