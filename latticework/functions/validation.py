@@ -92,6 +92,12 @@ def assert_rank(df: DataFrame, column: str, rank: int) -> None:
         _fail(f"column {column} of rank {rank}", kind)
 
 
+def target(df: DataFrame, column: str) -> str:
+    """A column of one number a row."""
+    kind = dict(df.dtypes).get(column)
+    return column if kind in NUMERIC or kind == "boolean" or str(kind).startswith("decimal") else _fail(f"a numeric target column {column}", kind)
+
+
 def assert_same_columns(left: DataFrame, right: DataFrame, columns: list[str]) -> None:
     a, b = dict(left.dtypes), dict(right.dtypes)
     bad = [c for c in columns if a.get(c) != b.get(c)]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import validation as V
 from ..functions import vectors
+from ..functions.lineage import checkpointed
+from ..functions.sums import total
 from .neighbors import _matrix, distances, radius_neighbors
 
 DENSE_LIMIT = 20_000
@@ -68,18 +70,8 @@ class KMeansModel:
 
 
 def _sums(table: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum of ``part(x, w)`` over Arrow batches; an array a task reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                s = part(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)).ravel()
-                total = s if total is None else total + s
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["s"])
-
-    return np.sum([np.array(r["s"]) for r in table.mapInArrow(run, "s array<double>").collect()], axis=0)
+    """Sum of ``part(x, w)`` over the Arrow batches of a table that is kept."""
+    return total(table, lambda b: part(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)), table.rdd.getNumPartitions())
 
 
 def _sq(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -245,14 +237,14 @@ class GaussianMixture:
 
 def min_label_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component: smallest reachable id) of edges (a, b): least labels of neighbours, then labels of labels."""
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")).checkpoint()
+    both = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     state = None
     for _ in range(max_rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = new.join(jump, "component").select("node", F.col("further").alias("component")).checkpoint()
+        labels = checkpointed(new.join(jump, "component").select("node", F.col("further").alias("component")))
         now = labels.agg(F.sum(F.col("component").cast("decimal(20,0)"))).first()[0]
         if now == state:
             return labels
@@ -265,13 +257,13 @@ class DBSCAN:
     def fit(df: DataFrame, eps: float = 0.5, min_samples: int = 5, features: str = "features", id: str = "id", metric: object = "euclidean", weight: str | None = None) -> DataFrame:
         """(id, core, label): clusters from 0 by their smallest core id, noise -1; a border point goes to the first of its cores' clusters."""
         rows = df.select(F.col(id).cast("long").alias("id"), vectors.doubles(features).alias("x"), V.weight_column(weight).alias("w"))
-        pairs = radius_neighbors(rows, rows, eps, "id", "x", metric, ["w"]).checkpoint()
-        core = pairs.groupBy("query_id").agg(F.sum("w").alias("n")).where(F.col("n") >= min_samples).select(F.col("query_id").alias("id")).checkpoint()
+        pairs = checkpointed(radius_neighbors(rows, rows, eps, "id", "x", metric, ["w"]))
+        core = checkpointed(pairs.groupBy("query_id").agg(F.sum("w").alias("n")).where(F.col("n") >= min_samples).select(F.col("query_id").alias("id")))
         edges = pairs.join(core.withColumnRenamed("id", "query_id"), "query_id", "left_semi").join(core.withColumnRenamed("id", "neighbor_id"), "neighbor_id", "left_semi").select(F.col("query_id").alias("a"), F.col("neighbor_id").alias("b"))
         comps = min_label_components(edges)
         # As many rows as there are clusters.
         names = comps.select("component").distinct().select("component", (F.row_number().over(W.orderBy("component")) - 1).alias("label"))
-        named = comps.join(names, "component").select(F.col("node").alias("id"), "label").checkpoint()
+        named = checkpointed(comps.join(names, "component").select(F.col("node").alias("id"), "label"))
         border = pairs.join(named.withColumnRenamed("id", "neighbor_id"), "neighbor_id").join(core.withColumnRenamed("id", "query_id"), "query_id", "left_anti").groupBy(F.col("query_id").alias("id")).agg(F.min("label").alias("label"))
         all_labels = named.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
         return rows.select("id").join(all_labels, "id", "left").select("id", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("label", F.lit(-1)).alias("label"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import validation as V
 from ..functions import vectors
+from ..functions.sums import total
 from .stats import gram
 
 
@@ -36,7 +37,7 @@ class LinearModel:
 
 
 def _centered(df: DataFrame, cols: list[str], y: str, weight: str | None, intercept: bool):
-    s = gram(df, [*cols, y], weight)[None]
+    s = gram(df, [*cols, V.target(df, y)], weight)[None]
     m = s.mean if intercept else np.zeros(len(cols) + 1)
     c = s.second - np.outer(m, s.first) - np.outer(s.first, m) + s.weight * np.outer(m, m)
     return s, c[:-1, :-1], c[:-1, -1], c[-1, -1], m[:-1], m[-1]
@@ -249,24 +250,12 @@ class LinearClassifier:
 
 
 def _total(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum of ``fn(x, y)`` over the Arrow batches of (x array, y): one array a task reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                part = fn(x, b.column(1).to_numpy(zero_copy_only=False))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["s"])
-
-    rows = df.mapInArrow(run, "s array<double>").collect()
-    return np.sum([np.array(r["s"]) for r in rows], axis=0)
+    """Sum of ``fn(x, y)`` over the Arrow batches of (x array, y) of a table that is kept."""
+    return total(df, lambda b: fn(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(1).to_numpy(zero_copy_only=False)), df.rdd.getNumPartitions())
 
 
 def _table(df: DataFrame, cols: list[str], y: str) -> DataFrame:
-    return df.select(F.array(*[_num(c) for c in cols]).alias("x"), _num(y).alias("y")).cache()
+    return df.select(F.array(*[_num(c) for c in cols]).alias("x"), _num(V.target(df, y)).alias("y")).cache()
 
 
 class LogisticRegression:

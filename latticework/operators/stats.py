@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import validation as V
+from ..functions.sums import array_sums
 
 
 def _num(c: str) -> Column:
@@ -66,9 +67,9 @@ class Moments:
 def gram(df: DataFrame, cols: list[str], weight: str | None = None, group: str | None = None, center: np.ndarray | None = None) -> dict[object, Moments]:
     """Moments of each ``group`` (or of all, under None).
 
-    Each task sums its own Arrow batches in numpy and gives out one row a group: what is shuffled and
-    sent to the driver is p x p numbers a task and group, whatever the number of rows. Sums are taken
-    of x - ``center`` (a rough mean, found first where not given) and moved back, for accuracy.
+    Each task sums its own Arrow batches in numpy and gives out one row a group, p x p numbers; a few tasks
+    sum these, so that a fixed number of rows a group reaches the driver. Sums are taken of x - ``center``
+    (a rough mean, found first where not given) and moved back, for accuracy.
     """
     p = len(cols)
     if center is None:
@@ -98,9 +99,7 @@ def gram(df: DataFrame, cols: list[str], weight: str | None = None, group: str |
 
     spark_kind = x.schema["g"].dataType.simpleString()
     kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "smallint": pa.int16(), "tinyint": pa.int8(), "boolean": pa.bool_()}[spark_kind]
-    out: dict[object, np.ndarray] = {}
-    for r in x.where(F.col("g").isNotNull()).mapInArrow(run, f"g {spark_kind}, s array<double>").toLocalIterator():
-        out[r["g"]] = out.get(r["g"], 0) + np.array(r["s"])
+    out = array_sums(x.where(F.col("g").isNotNull()).mapInArrow(run, f"g {spark_kind}, s array<double>"))
     found = {}
     for g, s in sorted(out.items()):
         w, f, q = s[1], s[2 : 2 + p], s[2 + p :].reshape(p, p)
