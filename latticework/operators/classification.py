@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import validation as V
+from ..functions.lineage import checkpointed
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -187,26 +192,36 @@ def top_k_accuracy_score(df: DataFrame, y: str, scores: str, k: int = 5, normali
 
 # Ranked curves.
 #
-# A window over all rows would put them in one task. Rows are summed a distinct score first, and the
-# running sums over scores are taken in two levels: within ranges of scores side by side, and over the
-# totals of the ranges (a few hundred rows).
-
-RANGES = 256
+# A window over all rows would put them in one task. Rows are summed a distinct score first, once; these
+# are dealt by ranges of falling score and kept, and running sums are taken within ranges side by side, from
+# what the ranges before hold (a row a range reaches the driver).
 
 
 def score_groups(df: DataFrame, y: str, score: str, weight: str | None = None) -> DataFrame:
-    """(score, tps, fps): weight of positives and negatives at this score or above, a row a distinct score."""
+    """(score, p, n, tps, fps): weight of positives and negatives at this score, and at this score or above; a row a distinct score."""
     w = V.weight_column(weight)
     pos = (F.col(y) == 1).cast("double")
-    g = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(w * pos).alias("p"), F.sum(w * (1 - pos)).alias("n"))
-    cuts = sorted(set(g.select(F.percentile_approx("score", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), 10_000)).first()[0] or []))
-    part = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda s, c: s + (c < F.col("score")).cast("int")) if cuts else F.lit(0)
-    g = g.withColumn("part", part)
-    totals = g.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
-    above = W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("pp").over(above), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("nn").over(above), F.lit(0.0)).alias("n0"))
-    own = W.partitionBy("part").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    return g.join(F.broadcast(base), "part").select("score", (F.col("p0") + F.sum("p").over(own)).alias("tps"), (F.col("n0") + F.sum("n").over(own)).alias("fps"), "part")
+    g = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.coalesce(F.sum(w * pos), F.lit(0.0)).alias("p"), F.coalesce(F.sum(w * (1 - pos)), F.lit(0.0)).alias("n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = checkpointed(g.repartitionByRange(ranges, F.desc("score")).sortWithinPartitions(F.desc("score")).withColumn("part", F.spark_partition_id()))
+    sums = sorted(map(tuple, g.groupBy("part").agg(F.sum("p"), F.sum("n")).collect()))
+    before, p0, n0 = {}, 0.0, 0.0
+    for part, p, n in sums:
+        before[part] = (p0, n0)
+        p0, n0 = p0 + p, n0 + n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, n, part = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            done = before[int(part[0])] if done is None else done
+            tps, fps = done[0] + np.cumsum(p), done[1] + np.cumsum(n)
+            done = (tps[-1], fps[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tps), pa.array(fps)], ["score", "p", "n", "tps", "fps"])
+
+    return g.mapInArrow(run, "score double, p double, n double, tps double, fps double")
 
 
 def distinct_values(df: DataFrame, score: str) -> DataFrame:
@@ -248,22 +263,14 @@ def roc_auc_score(df: DataFrame, y: str, score: str, weight: str | None = None)
     e = _ends(g)
     if not e["p"] or not e["n"]:
         return df.sparkSession.createDataFrame([(float("nan"),)], "auc double")
-    own = W.partitionBy("part").orderBy(F.desc("score"))
-    # Within a range the step before is a lag; at its head it is what the ranges above hold.
-    heads = g.groupBy("part").agg(F.max(F.struct("fps", "tps")).alias("x")).select((F.col("part")).alias("part"), F.col("x.tps").alias("t"), F.col("x.fps").alias("f"))
-    prev = heads.select("part", F.lag("t", 1, 0.0).over(W.orderBy(F.desc("part"))).alias("t0"), F.lag("f", 1, 0.0).over(W.orderBy(F.desc("part"))).alias("f0"))
-    s = g.withColumns({"t1": F.lag("tps").over(own), "f1": F.lag("fps").over(own)}).join(F.broadcast(prev), "part")
-    area = (F.col("fps") - F.coalesce("f1", "f0")) * (F.col("tps") + F.coalesce("t1", "t0")) / 2
-    return s.agg((F.sum(area) / F.lit(e["p"] * e["n"])).alias("auc"))
+    area = F.col("n") * (F.col("tps") - F.col("p") / 2)
+    return g.agg((F.sum(area) / F.lit(e["p"] * e["n"])).alias("auc"))
 
 
 def average_precision_score(df: DataFrame, y: str, score: str, weight: str | None = None) -> DataFrame:
     """Sum of precision times the step in recall."""
-    w = V.weight_column(weight)
-    g = score_groups(df, y, score, weight)
-    own = df.where(F.col(y) == 1).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(w).alias("step"))
-    s = g.join(own, "score")
-    return s.agg(F.coalesce(F.sum(F.col("step") * F.col("tps") / (F.col("tps") + F.col("fps"))) / F.sum("step"), F.lit(0.0)).alias("average_precision"))
+    g = score_groups(df, y, score, weight).where("p > 0")
+    return g.agg(F.coalesce(F.sum(F.col("p") * F.col("tps") / (F.col("tps") + F.col("fps"))) / F.sum("p"), F.lit(0.0)).alias("average_precision"))
 
 
 def auc(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
