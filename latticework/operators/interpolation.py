@@ -170,13 +170,16 @@ class BezierModel:
                 return w**3 * p + 3 * w * w * u * a + 3 * w * u * u * b + u**3 * q
 
             low, high = np.zeros(len(v)), np.ones(len(v))
-            for _ in range(max(max_iter, 50)):  # x rises along the curve, so halving finds it
+            for _ in range(max(max_iter, 60)):  # x rises along the curve, so halving finds it
                 mid = (low + high) / 2
                 less = at(mid, 0) < v
                 low, high = np.where(less, mid, low), np.where(less, high, mid)
-                if np.nanmax(high - low, initial=0) < eps * 1e-3:
+                if np.nanmax(high - low, initial=0) < min(eps, 1e-12) * 1e-3:
                     break
-            return pa.array(np.where(np.isnan(v), np.nan, at((low + high) / 2, 1)), mask=t.is_null().to_numpy(zero_copy_only=False))
+            out = at((low + high) / 2, 1)
+            knot = np.clip(np.searchsorted(m.points[:, 0], v), 0, len(m.points) - 1)
+            out = np.where(m.points[knot, 0] == v, m.points[knot, 1], out)  # knots lie on the curve
+            return pa.array(np.where(np.isnan(v), np.nan, out), mask=t.is_null().to_numpy(zero_copy_only=False))
 
         return df.withColumn(output, value(F.col(target).cast("double")))
 

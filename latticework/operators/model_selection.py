@@ -43,17 +43,31 @@ def with_folds(df: DataFrame, k: int, order: str, output: str = "fold") -> DataF
     return rows.where(F.col("lw_row") < size * k).withColumn(output, F.floor(F.col("lw_row") / size).cast("int")).drop("lw_row")
 
 
-def k_fold_split(df: DataFrame, k: int, order: str) -> Iterator[tuple[DataFrame, DataFrame]]:
+class Folds(list):
+    """(train, test) of each fold, over rows that are kept until ``release``."""
+
+    def __init__(self, kept: DataFrame, k: int):
+        self.kept = kept
+        super().__init__((kept.where(F.col("lw_fold") != f).drop("lw_fold"), kept.where(F.col("lw_fold") == f).drop("lw_fold")) for f in range(k))
+
+    def release(self) -> None:
+        self.kept.unpersist()
+
+
+def k_fold_split(df: DataFrame, k: int, order: str) -> Folds:
     """(train, test) of each fold."""
-    folds = with_folds(df, k, order, "lw_fold").cache()
-    for f in range(k):
-        yield folds.where(F.col("lw_fold") != f).drop("lw_fold"), folds.where(F.col("lw_fold") == f).drop("lw_fold")
+    return Folds(with_folds(df, k, order, "lw_fold").cache(), k)
 
 
 def cross_validate(df: DataFrame, folding: Callable[[DataFrame], Iterator[tuple[DataFrame, DataFrame]]], scoring: Callable[[DataFrame, DataFrame], list[float]], parallel: int = 4) -> np.ndarray:
     """Scores, a row a metric, a column a fold."""
-    with ThreadPoolExecutor(parallel) as pool:
-        return np.array(list(pool.map(lambda s: scoring(*s), folding(df)))).T
+    folds = folding(df)
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            return np.array(list(pool.map(lambda s: scoring(*s), folds))).T
+    finally:
+        if isinstance(folds, Folds):
+            folds.release()
 
 
 def weighted_cross_validate(df: DataFrame, weight: str, folding: Callable, scoring: Callable[[DataFrame, DataFrame, str], list[float]], parallel: int = 4) -> np.ndarray:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import validation as V
 from ..functions import vectors
+from ..functions.lineage import checkpointed
 
 #: Rows of a slice: BLOCK^2 distances are in a task's memory at once.
 BLOCK = 2048
@@ -191,14 +192,15 @@ def pairwise(left: DataFrame, right: DataFrame, metric: object = "euclidean", id
     return _block_join(left, right, id, features, every, NEIGHBORS)
 
 
-def radius_neighbors(points: DataFrame, queries: DataFrame, radius: float, id: str = "id", features: str = "features", metric: object = "euclidean", payload: list[str] | None = None) -> DataFrame:
-    """(query_id, neighbor_id, distance) of all pairs with distance <= radius."""
+def radius_neighbors(points: DataFrame, queries: DataFrame, radius: float, id: str = "id", features: str = "features", metric: object = "euclidean", payload: list[str] | None = None, exclude_self: bool = False) -> DataFrame:
+    """(query_id, neighbor_id, distance) of all pairs with distance <= radius; with ``exclude_self``, of unlike ids."""
     V.positive_number(radius)
 
     def near(ids: np.ndarray, q: np.ndarray, right: pa.Table) -> pa.Table:
         d = distances(q, _matrix(right["x"]), metric)
-        a, b = np.nonzero(d <= radius)
-        return pa.table({"query_id": ids[a], "neighbor_id": right["id"].to_numpy()[b], "distance": d[a, b]})
+        own = right["id"].to_numpy()
+        a, b = np.nonzero((d <= radius) & (ids[:, None] != own[None, :]) if exclude_self else d <= radius)
+        return pa.table({"query_id": ids[a], "neighbor_id": own[b], "distance": d[a, b]})
 
     out = _block_join(queries, points, id, features, near, NEIGHBORS)
     if payload:
@@ -243,14 +245,17 @@ class KDTree:
     num_neighbors: int = 3
     metric: object = "euclidean"
 
-    #: Points that one tree may hold; larger sets are for BruteKNN or RandomProjectionForest.
-    LIMIT = 2_000_000
+    #: Points, and bytes of them, that one tree may hold; larger sets are for BruteKNN or RandomProjectionForest.
+    LIMIT, BYTES = 2_000_000, 512 << 20
 
     @staticmethod
     def fit(points: DataFrame, id: str = "id", features: str = "features", num_neighbors: int = 3, metric: object = "euclidean") -> KDTree:
         n = points.count()
         if n > KDTree.LIMIT:
             raise ValueError(f"{n} points are more than a kd-tree holds ({KDTree.LIMIT})")
+        size = 8 * n * (points.select(F.max(F.size(features))).first()[0] or 0)
+        if size > KDTree.BYTES:
+            raise ValueError(f"points of {size} bytes are more than a kd-tree holds ({KDTree.BYTES})")
         rows = points.select(F.col(id).cast("long").alias("id"), vectors.doubles(features).alias("x")).orderBy("id").toArrow()
         x = _matrix(rows["x"])
         order = KDTree.permutation(x)
@@ -275,23 +280,57 @@ class KDTree:
         return out
 
     def search(self, q: np.ndarray) -> list[tuple[float, int]]:
-        """(distance, id) of the nearest, walking down and leaving out subtrees beyond the worst kept."""
-        best: list[tuple[float, int]] = []
-        k, dim, n = self.num_neighbors, self.data.shape[1], len(self.ids)
-        power = self.metric if self.metric != "cosine" else None
-        stack = [(0, 0, 0.0)]
-        while stack:
-            node, depth, gap = stack.pop()
-            if node >= n or (power is not None and len(best) == k and gap > best[-1][0]):
+        """(distance, id) of the nearest of one query."""
+        d, ids = self.search_many(q[None, :])
+        return [(float(x), int(i)) for x, i in zip(d[0], ids[0]) if i >= 0]
+
+    def search_many(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, ids), a row a query, equal distances by id; id -1 where there are no more points.
+
+        All queries first walk down to their leaf. Then each node is visited once, with the queries whose worst
+        kept neighbour is not nearer than the planes between them and the node.
+        """
+        n, dim, k = len(self.ids), self.data.shape[1], self.num_neighbors
+        best, found = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+        prune = self.metric != "cosine"
+
+        def offer(node: np.ndarray, rows: np.ndarray) -> None:
+            """``node``: one for all ``rows``, or one a row."""
+            if node.ndim:
+                for v in np.unique(node):
+                    offer(v, rows[node == v])
+                return
+            own, d = self.ids[node], distances(q[rows], self.data[node][None, :], self.metric)[:, 0]
+            last = best[rows, -1]
+            new = ((d < last) | ((d == last) & ((found[rows, -1] < 0) | (own < found[rows, -1])))) & ~(found[rows] == own).any(1)
+            if not new.any():
+                return
+            at = rows[new]
+            dd, ii = np.hstack([best[at], d[new, None]]), np.hstack([found[at], np.full((len(at), 1), own)])
+            order = np.lexsort((np.where(ii < 0, np.iinfo(np.int64).max, ii), dd), axis=1)[:, :k]
+            best[at], found[at] = np.take_along_axis(dd, order, 1), np.take_along_axis(ii, order, 1)
+
+        node, rows, depth = np.zeros(len(q), np.int64), np.arange(len(q)), 0
+        while prune and len(rows):
+            offer(node, rows)
+            off = q[rows, depth % dim] - self.data[node, depth % dim]
+            node = np.where(off > 0, right_child(node), left_child(node))
+            rows, node, depth = rows[node < n], node[node < n], depth + 1
+        todo = [(0, 0, np.arange(len(q)), np.zeros(len(q)))]
+        while todo:
+            v, depth, rows, gap = todo.pop()
+            if v >= n:
                 continue
-            d = float(distances(q[None, :], self.data[node][None, :], self.metric)[0, 0])
-            best = sorted([*best, (d, int(self.ids[node]))])[:k]
-            axis = depth % dim
-            off = q[axis] - self.data[node, axis]
-            near, far = (right_child(node), left_child(node)) if off > 0 else (left_child(node), right_child(node))
-            reach = abs(off) ** 2 if self.metric == "squared_euclidean" else abs(off)
-            stack += [(far, depth + 1, reach), (near, depth + 1, 0.0)]
-        return best
+            if prune:
+                near = gap <= best[rows, -1]
+                rows, gap = rows[near], gap[near]
+            if not len(rows):
+                continue
+            offer(np.int64(v), rows)
+            off = q[rows, depth % dim] - self.data[v, depth % dim]
+            reach = np.maximum(gap, off**2 if self.metric == "squared_euclidean" else np.abs(off))
+            todo += [(left_child(v), depth + 1, rows, np.where(off > 0, reach, gap)), (right_child(v), depth + 1, rows, np.where(off > 0, gap, reach))]
+        return best, found
 
     def predict(self, queries: DataFrame, id: str = "id", features: str = "features") -> DataFrame:
         sent = queries.sparkSession.sparkContext.broadcast(self)
@@ -299,9 +338,12 @@ class KDTree:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = sent.value
             for b in batches:
-                found = [(i, r, n, d) for i, q in zip(b.column(0).to_pylist(), _matrix(b.column(1))) for r, (d, n) in enumerate(tree.search(q))]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "neighbor_id", "distance"])
+                if not b.num_rows:
+                    continue
+                d, ids = tree.search_many(_matrix(b.column(1)))
+                there = ids >= 0
+                rank = np.broadcast_to(np.arange(ids.shape[1], dtype=np.int32), ids.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), there.sum(1))), pa.array(rank[there]), pa.array(ids[there]), pa.array(d[there])], ["query_id", "rank", "neighbor_id", "distance"])
 
         return queries.select(F.col(id).cast("long").alias("query_id"), vectors.doubles(features).alias("x")).mapInArrow(run, "query_id long, rank int, neighbor_id long, distance double")
 
@@ -465,9 +507,9 @@ class LargeVis:
     def fit(points: DataFrame, num_neighbors: int, num_iters: int = 3, min_leaf_size: int | None = None, num_trees: int | None = None, seed: int = 0, id: str = "id", features: str = "features", metric: object = "euclidean", recall: float | None = None) -> DataFrame:
         trees = None if recall is not None and num_trees is None else num_trees or 5 + round(points.count() ** 0.25)
         forest = RandomProjectionForest.fit(points, num_neighbors, trees, min_leaf_size, seed, id, features, metric, recall)
-        graph = forest.predict(points, exclude_self=True).checkpoint()
+        graph = checkpointed(forest.predict(points, exclude_self=True))
         for _ in range(num_iters):
-            graph = expand(graph, points, num_neighbors, id, features, metric).checkpoint()
+            graph = checkpointed(expand(graph, points, num_neighbors, id, features, metric))
         return graph
 
 
@@ -500,7 +542,7 @@ class NNDescent:
             ring = ids.select("query_id", F.row_number().over(W.orderBy(F.xxhash64("query_id", F.lit(seed)))).alias("r"))
             shifts = ring.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(min(k, n - 1)))))
             start = shifts.select("query_id", ((F.col("r") - 1 + F.col("s")) % n + 1).alias("r")).join(ring.withColumnRenamed("query_id", "neighbor_id"), "r").select("query_id", "neighbor_id")
-        graph = search_among(points, points, start, k, id, features, metric).withColumn("new", F.lit(True)).checkpoint()
+        graph = checkpointed(search_among(points, points, start, k, id, features, metric).withColumn("new", F.lit(True)))
         rounds = 0
         for rounds in range(1, max_iterations + 1):
             both = graph.select("query_id", "neighbor_id", "new").unionAll(graph.select(F.col("neighbor_id").alias("query_id"), F.col("query_id").alias("neighbor_id"), "new")).groupBy("query_id", "neighbor_id").agg(F.max("new").alias("new"))
@@ -510,24 +552,77 @@ class NNDescent:
             pairs = a.join(b, "h").where("(na or nb) and query_id <> neighbor_id").select("query_id", "neighbor_id").distinct()
             old = graph.select("query_id", "neighbor_id")
             better = search_among(points, points, pairs.unionAll(old), k, id, features, metric)
-            graph_next = better.join(old.withColumn("old", F.lit(True)), ["query_id", "neighbor_id"], "left").withColumn("new", F.col("old").isNull()).drop("old").checkpoint()
+            graph_next = checkpointed(better.join(old.withColumn("old", F.lit(True)), ["query_id", "neighbor_id"], "left").withColumn("new", F.col("old").isNull()).drop("old"))
             changed = graph_next.where("new").count()
             graph = graph_next
             if changed < tol * n * k:
                 break
         return NNDescent(points, graph.select("query_id", "rank", "neighbor_id", "distance"), k, id, features, metric, rounds)
 
-    def query(self, queries: DataFrame, num_neighbors: int | None = None, trees: int = 8, rounds: int = 2, seed: int = 1) -> DataFrame:
-        """Neighbours of new points: leaves of a forest, then steps along the graph from the best so far."""
-        k = num_neighbors or self.num_neighbors
-        forest = RandomProjectionForest.fit(self.points, k, trees, None, seed, self.id, self.features, "euclidean")
-        best = search_among(self.points, queries, forest.candidates(queries), k, self.id, self.features, self.metric).checkpoint()
-        edges = self.graph.select(F.col("query_id").alias("n"), F.col("neighbor_id").alias("m"))
-        edges = edges.unionAll(edges.select(F.col("m").alias("n"), F.col("n").alias("m"))).distinct()
-        for _ in range(rounds):
-            step = best.join(edges, F.col("neighbor_id") == F.col("n")).select("query_id", F.col("m").alias("neighbor_id"))
-            best = search_among(self.points, queries, best.select("query_id", "neighbor_id").unionAll(step), k, self.id, self.features, self.metric).checkpoint()
-        return best
+    def prepare(self, max_degree: int | None = None, trees: int = 8, seed: int = 1) -> SearchGraph:
+        """A graph for searching, kept for any number of queries.
+
+        An edge goes if a nearer neighbour of its point is nearer to the other end than the point is. What is
+        left counts both ways, ``max_degree`` nearest edges a point; a forest gives the places to start from.
+        """
+        x = self.points.select(F.col(self.id).alias("i"), vectors.doubles(self.features).alias("x"))
+        m = vectors.pairwise_metric(self.metric)
+        near = self.graph.select("query_id", "neighbor_id", "distance")
+        with_x = near.join(x, F.col("neighbor_id") == F.col("i")).select("query_id", "neighbor_id", "distance", "x")
+        nearer = with_x.select("query_id", F.col("distance").alias("d2"), F.col("neighbor_id").alias("other"), F.col("x").alias("x2"))
+        hidden = with_x.join(nearer, "query_id").where((F.col("d2") < F.col("distance")) & (m("x", "x2") < F.col("distance"))).select("query_id", "neighbor_id").distinct()
+        kept = near.join(hidden, ["query_id", "neighbor_id"], "left_anti")
+        both = kept.unionAll(kept.select(F.col("neighbor_id").alias("query_id"), F.col("query_id").alias("neighbor_id"), "distance")).distinct()
+        w = W.partitionBy("query_id").orderBy("distance", "neighbor_id")
+        edges = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= (max_degree or 3 * self.num_neighbors)).select(F.col("query_id").alias("n"), F.col("neighbor_id").alias("m"))
+        forest = RandomProjectionForest.fit(self.points, self.num_neighbors, trees, None, seed, self.id, self.features, "euclidean")
+        return SearchGraph(self.points, checkpointed(edges), forest, self.id, self.features, self.metric)
+
+    def query(self, queries: DataFrame, num_neighbors: int | None = None, trees: int = 8, seed: int = 1) -> DataFrame:
+        """Neighbours of new points, by a graph made for this call; ``prepare`` makes one to keep."""
+        return self.prepare(None, trees, seed).query(queries, num_neighbors or self.num_neighbors)
+
+
+@dataclass(frozen=True)
+class SearchGraph:
+    """Best-first search along the edges of a pruned neighbour graph, all queries in step."""
+
+    points: DataFrame
+    edges: DataFrame  # n, m
+    forest: RandomProjectionForest
+    id: str = "id"
+    features: str = "features"
+    metric: object = "squared_euclidean"
+
+    def query(self, queries: DataFrame, num_neighbors: int, pool: int | None = None, width: int = 4) -> DataFrame:
+        """(query_id, rank, neighbor_id, distance).
+
+        Each query keeps the best ``pool`` points seen. A round goes on from the best ``width`` of these that
+        it has not gone on from yet; the search ends when every query has gone on from all that it keeps.
+        """
+        pool = max(pool or 4 * num_neighbors, num_neighbors)
+        m = vectors.pairwise_metric(self.metric)
+        q = queries.select(F.col(self.id).alias("query_id"), vectors.doubles(self.features).alias("q"))
+        x = self.points.select(F.col(self.id).alias("neighbor_id"), vectors.doubles(self.features).alias("x"))
+        best = W.partitionBy("query_id").orderBy("distance", "neighbor_id")
+        open_best = W.partitionBy("query_id", "done").orderBy("distance", "neighbor_id")
+
+        def measured(pairs: DataFrame) -> DataFrame:
+            return pairs.join(q, "query_id").join(x, "neighbor_id").select("query_id", "neighbor_id", m("q", "x").alias("distance"), F.lit(False).alias("done"))
+
+        def cut(rows: DataFrame) -> DataFrame:
+            return checkpointed(rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pool).drop("r"))
+
+        state = cut(measured(self.forest.candidates(queries)))
+        while True:
+            marked = state.withColumn("go", ~F.col("done") & (F.row_number().over(open_best) <= width))
+            go = marked.where("go")
+            if not go.take(1):
+                break
+            steps = go.join(self.edges, F.col("neighbor_id") == F.col("n")).select("query_id", F.col("m").alias("neighbor_id")).distinct()
+            new = measured(steps.join(state, ["query_id", "neighbor_id"], "left_anti"))
+            state = cut(marked.select("query_id", "neighbor_id", "distance", (F.col("done") | F.col("go")).alias("done")).unionByName(new))
+        return top_k(state, num_neighbors)
 
 
 def is_in(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
@@ -633,13 +728,14 @@ class RadiusNNClassifier:
     id: str = "id"
     features: str = "features"
     metric: object = "euclidean"
+    exclude_self: bool = False
 
     @staticmethod
     def fit(points: DataFrame, label: str, num_classes: int, **opts) -> RadiusNNClassifier:
         return RadiusNNClassifier(points, label, num_classes, **opts)
 
     def radius_neighbors(self, queries: DataFrame) -> DataFrame:
-        return radius_neighbors(self.points, queries, self.radius, self.id, self.features, self.metric, [F.col(self.label).alias("label")])
+        return radius_neighbors(self.points, queries, self.radius, self.id, self.features, self.metric, [F.col(self.label).alias("label")], self.exclude_self)
 
     def _votes(self, queries: DataFrame) -> DataFrame:
         w = F.lit(1.0) if self.weights == "uniform" else inverse_distance_weights(F.col("distance"))
@@ -666,13 +762,14 @@ class RadiusNNRegressor:
     id: str = "id"
     features: str = "features"
     metric: object = "euclidean"
+    exclude_self: bool = False
 
     @staticmethod
     def fit(points: DataFrame, target: str, **opts) -> RadiusNNRegressor:
         return RadiusNNRegressor(points, target, **opts)
 
     def radius_neighbors(self, queries: DataFrame) -> DataFrame:
-        return radius_neighbors(self.points, queries, self.radius, self.id, self.features, self.metric, [F.col(self.target).cast("double").alias("y")])
+        return radius_neighbors(self.points, queries, self.radius, self.id, self.features, self.metric, [F.col(self.target).cast("double").alias("y")], self.exclude_self)
 
     def predict(self, queries: DataFrame) -> DataFrame:
         """(query_id, prediction); NaN without any neighbour in the radius."""
@@ -681,18 +778,34 @@ class RadiusNNRegressor:
         return queries.select(F.col(self.id).alias("query_id")).join(mean, "query_id", "left").select("query_id", F.coalesce("prediction", F.lit(float("nan"))).alias("prediction"))
 
 
+@dataclass(frozen=True)
 class KNNImputer:
-    """Missing cells take the mean of the column over the k nearest rows that have it.
+    """Missing cells take the mean of the column over the k nearest rows of ``donors`` that have it.
 
     Distance over the cells that both rows have, scaled up by their share; the search is the block join.
+    A row is no donor of a row with its own id.
     """
 
+    donors: DataFrame
+    id: str
+    cols: list[str]
+    num_neighbors: int = 2
+    missing_values: float | None = None
+
+    @staticmethod
+    def fit(df: DataFrame, id: str, cols: list[str], num_neighbors: int = 2, missing_values: float | None = None) -> KNNImputer:
+        return KNNImputer(df, id, cols, V.positive_integer(num_neighbors), missing_values)
+
     @staticmethod
     def fit_transform(df: DataFrame, id: str, cols: list[str], num_neighbors: int = 2, missing_values: float | None = None) -> DataFrame:
-        V.positive_integer(num_neighbors)
+        return KNNImputer.fit(df, id, cols, num_neighbors, missing_values).transform(df)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with its missing cells filled from the donors."""
+        id, cols, missing_values = self.id, self.cols, self.missing_values
         known = [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.col(c) == F.lit(missing_values) if missing_values is not None else F.lit(False)), F.lit(float("nan"))).otherwise(F.col(c).cast("double")) for c in cols]
-        rows = df.select(F.col(id).cast("long").alias(id), F.array(*known).alias("x"))
-        p, k = len(cols), num_neighbors
+        rows, donors = (t.select(F.col(id).cast("long").alias(id), F.array(*known).alias("x")) for t in (df, self.donors))
+        p, k = len(cols), self.num_neighbors
 
         def best(ids: np.ndarray, q: np.ndarray, right: pa.Table) -> pa.Table:
             own, x = right["id"].to_numpy(), _matrix(right["x"])
@@ -717,7 +830,7 @@ class KNNImputer:
             return pa.table({"query_id": pa.array(a, pa.int64()), "neighbor_id": pa.array(b, pa.int64()), "distance": pa.array(dist, pa.float64()), "j": pa.array(col, pa.int32()), "v": pa.array(val, pa.float64())})
 
         holes = rows.where(F.exists("x", F.isnan))
-        pairs = _block_join(holes, rows, id, "x", best, NEIGHBORS + ", j int, v double")
+        pairs = _block_join(holes, donors, id, "x", best, NEIGHBORS + ", j int, v double")
         w = W.partitionBy("query_id", "j").orderBy("distance", "neighbor_id")
         fills = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id", "j").agg(F.avg("v").alias("v"))
         wide = fills.groupBy(F.col("query_id").alias(id)).pivot("j", list(range(p))).agg(F.first("v"))

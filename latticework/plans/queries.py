@@ -175,7 +175,7 @@ query("kurtosis", _moments("{m4} / ({m2} ** 2) - 3", "kurt"))(_scalar(lambda t:
 query("kurtosis_unbiased_pearson", _moments("(({n} + 1) * ({m4} / ({m2} ** 2) - 3) + 6) * ({n} - 1.0) / (({n} - 2) * ({n} - 3)) + 3", "kurt"))(_scalar(lambda t: stats.kurtosis(t, NUM, False, "pearson"), "kurt"))
 
 
-@query("correlation_matrix", " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {'1.0' if i == j else f'round(corr({a}, {b}), 6) + 0.0'} AS v FROM lineitem" + (" LIMIT 1" if False else "") for i, a in enumerate(NUM) for j, b in enumerate(NUM) if i != j) + " UNION ALL SELECT i, i, 1.0 FROM generate_series(0, 2) AS g(i)")
+@query("correlation_matrix", " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {'1.0' if i == j else f'round(corr({a}, {b}), 6) + 0.0'} AS v FROM lineitem" for i, a in enumerate(NUM) for j, b in enumerate(NUM) if i != j) + " UNION ALL SELECT i, i, 1.0 FROM generate_series(0, 2) AS g(i)")
 def _(spark, d):
     return rounded(stats.correlation_matrix(lineitem(spark, d), NUM))
 
@@ -420,25 +420,25 @@ def _(spark, d):
     return rounded(neighbors.KNNRegressor.fit(e, "label", 5, "distance", exclude_self=True).predict(e), 4)
 
 
-@query("kd_tree", E_SQL + "SELECT * FROM (SELECT a.id AS query_id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v[1:4], b.v[1:4]), b.id) - 1 AS rank, b.id AS neighbor_id, round(list_distance(a.v[1:4], b.v[1:4]), 5) + 0.0 AS distance FROM e a, e b) WHERE rank < 3")
+@query("kd_tree", E_SQL + "SELECT * FROM (SELECT a.id AS query_id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) - 1 AS rank, b.id AS neighbor_id, round(list_distance(a.v, b.v), 5) + 0.0 AS distance FROM e a, e b) WHERE rank < 3")
 def _(spark, d):
-    e = embeddings(spark, d).withColumn("features", F.slice("features", 1, 4))
+    e = embeddings(spark, d)
     return rounded(neighbors.KDTree.fit(e, num_neighbors=3).predict(e), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-RADIUS = E_SQL + ", r AS (SELECT a.id AS query_id, b.label FROM e a JOIN e b ON list_distance(a.v, b.v) <= 0.9 AND a.id % 7 = 0 AND b.id % 7 <> 0) "
+RADIUS = E_SQL + ", r AS (SELECT a.id AS query_id, b.label FROM e a JOIN e b ON a.id <> b.id AND list_distance(a.v, b.v) <= 0.9) "
 
 
-@query("radius_classifier", RADIUS + "SELECT e.id AS query_id, coalesce(p.label, -1) AS label FROM e LEFT JOIN (SELECT query_id, label FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS n FROM r GROUP BY query_id, label) WHERE n = 1) p ON p.query_id = e.id WHERE e.id % 7 = 0")
+@query("radius_classifier", RADIUS + "SELECT e.id AS query_id, coalesce(p.label, -1) AS label FROM e LEFT JOIN (SELECT query_id, label FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS n FROM r GROUP BY query_id, label) WHERE n = 1) p ON p.query_id = e.id")
 def _(spark, d):
     e = embeddings(spark, d)
-    return neighbors.RadiusNNClassifier.fit(e.where("id % 7 <> 0"), "label", 10, radius=0.9).predict(e.where("id % 7 = 0"))
+    return neighbors.RadiusNNClassifier.fit(e, "label", 10, radius=0.9, exclude_self=True).predict(e)
 
 
-@query("radius_regressor", RADIUS + "SELECT e.id AS query_id, coalesce(round(avg(r.label), 6) + 0.0, -1.0) AS prediction FROM e LEFT JOIN r ON r.query_id = e.id WHERE e.id % 7 = 0 GROUP BY e.id")
+@query("radius_regressor", RADIUS + "SELECT e.id AS query_id, coalesce(round(avg(r.label), 6) + 0.0, -1.0) AS prediction FROM e LEFT JOIN r ON r.query_id = e.id GROUP BY e.id")
 def _(spark, d):
     e = embeddings(spark, d)
-    out = neighbors.RadiusNNRegressor.fit(e.where("id % 7 <> 0"), "label", radius=0.9).predict(e.where("id % 7 = 0"))
+    out = neighbors.RadiusNNRegressor.fit(e, "label", radius=0.9, exclude_self=True).predict(e)
     return rounded(out.withColumn("prediction", F.when(F.isnan("prediction"), -1.0).otherwise(F.col("prediction"))))
 
 
@@ -587,6 +587,32 @@ MAHAL = "(({bb}) * (a - ma) ** 2 - 2 * ({ab}) * (a - ma) * (b - mb) + ({aa}) * (
 query("linear_discriminant", DISC + PICK.format(key="a, b", score="SELECT a, b, g.c AS k, ln(g.n / t.n) - 0.5 * " + MAHAL.format(aa="t.aa", bb="t.bb", ab="t.ab") + " AS jll FROM (SELECT DISTINCT a, b FROM r), g, t"))(lambda spark, d: bayes.LinearDiscriminant.fit(_two(spark, d), ["a", "b"], "c").predict(_two(spark, d).select("a", "b").distinct()))
 query("quadratic_discriminant", DISC + PICK.format(key="a, b", score="SELECT a, b, g.c AS k, ln(g.n / t.n) - 0.5 * ln((g.aa * g.bb - g.ab ** 2) * (g.n / (g.n - 1)) ** 2) - 0.5 * " + MAHAL.format(aa="g.aa * g.n / (g.n - 1)", bb="g.bb * g.n / (g.n - 1)", ab="g.ab * g.n / (g.n - 1)") + " AS jll FROM (SELECT DISTINCT a, b FROM r), g, t"))(lambda spark, d: bayes.QuadraticDiscriminant.fit(_two(spark, d), ["a", "b"], "c").predict(_two(spark, d).select("a", "b").distinct()))
 
+# Joint logarithms, log-probabilities and probabilities of every class, from the same scores as the predictions above.
+
+
+def _probabilities_sql(name: str, key: str, joint: bool = True) -> str:
+    head = ORACLE_SQL[name].rsplit(f") SELECT {key}, k AS prediction", 1)[0]
+    columns = "round(jll, 5) + 0.0 AS jll, round(jll - ln(sum(exp(jll)) OVER w), 5) + 0.0 AS log_probability, " if joint else ""
+    return f"{head}) SELECT {key}, k::BIGINT AS k, {columns}round(exp(jll) / sum(exp(jll)) OVER w, 5) + 0.0 AS probability FROM s WINDOW w AS (PARTITION BY {key})"
+
+
+def _probabilities(model, rows: DataFrame, key: list[str], joint: bool = True) -> DataFrame:
+    out = model.predict_probability(model.predict_log_probability(model.predict_joint_log_probability(rows.select(*key).distinct())))
+    each = out.select(*key, F.posexplode(F.arrays_zip("jll", "log_probability", "probability")).alias("k", "s"))
+    return each.select(*key, F.col("k").cast("long").alias("k"), *[rd(f"s.{c}", 5).alias(c) for c in (("jll", "log_probability", "probability") if joint else ("probability",))])
+
+
+for _name, _model in {"gaussian_nb": bayes.GaussianNB, "bernoulli_nb": bayes.BernoulliNB, "categorical_nb": bayes.CategoricalNB, "complement_nb": bayes.ComplementNB, "multinomial_nb": bayes.MultinomialNB}.items():
+    query(f"{_name}_probabilities", _probabilities_sql(_name, "x1, x2, x3"))(lambda spark, d, m=_model: _probabilities(m.fit(bayes_rows(spark, d), BX, "c"), bayes_rows(spark, d), BX))
+for _name, _model in {"linear_discriminant": bayes.LinearDiscriminant, "quadratic_discriminant": bayes.QuadraticDiscriminant}.items():
+    query(f"{_name}_probabilities", _probabilities_sql(_name, "a, b", False))(lambda spark, d, m=_model: _probabilities(m.fit(_two(spark, d), ["a", "b"], "c"), _two(spark, d), ["a", "b"], False))
+
+
+@query("correlation_given_means", "WITH c AS (SELECT [l_quantity - 20, l_extendedprice - 30000, l_discount - 0.04] AS v FROM lineitem), s AS (SELECT i, j, sum(v[i + 1] * v[j + 1]) AS s FROM c, generate_series(0, 2) AS a(i), generate_series(0, 2) AS b(j) GROUP BY i, j) SELECT s.i::INT AS i, s.j::INT AS j, round(s.s / sqrt(p.s * q.s), 6) + 0.0 AS v FROM s JOIN s p ON p.i = s.i AND p.j = s.i JOIN s q ON q.i = s.j AND q.j = s.j")
+def _(spark, d):
+    return rounded(stats.correlation_matrix(lineitem(spark, d), NUM, [20.0, 30000.0, 0.04]))
+
+
 # Decomposition.
 
 EIGEN = "WITH r AS (SELECT l_quantity AS a, l_extendedprice / 1000 AS b FROM lineitem), c AS (SELECT var_samp(a) AS x, var_samp(b) AS y, covar_samp(a, b) AS z FROM r) "
@@ -621,12 +647,13 @@ def _(spark, d):
     return rounded(spark.createDataFrame([tuple(map(float, m.singular_values))], "s1 double, s2 double"), 4)
 
 
-@query("pls_svd", "SELECT 1.0 AS x_weight, round(covar_samp(l_quantity, l_extendedprice) / (stddev_samp(l_quantity) * stddev_samp(l_extendedprice)), 6) + 0.0 AS covariance FROM lineitem")
+# A singular value is never negative; the correlation's sign is that of the weight of y.
+@query("pls_svd", "SELECT 1.0 AS x_weight, sign(c) + 0.0 AS y_weight, round(abs(c), 6) + 0.0 AS covariance FROM (SELECT covar_samp(l_quantity, l_extendedprice) / (stddev_samp(l_quantity) * stddev_samp(l_extendedprice)) AS c FROM lineitem)")
 def _(spark, d):
     t = lineitem(spark, d)
     m = decomposition.PLSSVD.fit(t, ["l_quantity"], ["l_extendedprice"], 1)
     s = m.transform(t).agg(F.covar_samp(F.col("x_scores")[0], F.col("y_scores")[0]).alias("covariance"))
-    return rounded(s.select(F.lit(float(abs(m.x_weights[0, 0]))).alias("x_weight"), "covariance"))
+    return rounded(s.select(F.lit(float(m.x_weights[0, 0])).alias("x_weight"), F.lit(float(m.y_weights[0, 0])).alias("y_weight"), "covariance"))
 
 
 @query("kernel_pca")
@@ -704,6 +731,14 @@ def _(spark, d):
     return spark.createDataFrame([(i, low[c]) for i, c in zip(tree.ids.tolist(), labels.tolist())], "id long, cluster long")
 
 
+@query("hierarchical_labels_map", E_SQL + """, p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON list_distance(a.v, b.v) < 0.8),
+t AS (WITH RECURSIVE t(x, y) AS (SELECT id, id FROM e UNION SELECT t.x, p.b FROM t JOIN p ON t.y = p.a) SELECT x, min(y) AS m FROM t GROUP BY x)
+SELECT (dense_rank() OVER (ORDER BY m) - 1)::BIGINT AS cluster, x AS id FROM t""")
+def _(spark, d):
+    tree = clustering.Hierarchical.fit(embeddings(spark, d), "single")
+    return spark.createDataFrame([(c, i) for c, own in tree.labels_map(height=0.8).items() for i in own], "cluster long, id long")
+
+
 @query("affinity_propagation")
 def _(spark, d):
     m = clustering.AffinityPropagation.fit(embeddings(spark, d)).prune()
@@ -763,6 +798,29 @@ def _(spark, d):
     return rounded(interpolation.BezierSpline.fit(k, "x", "y").predict(k.select("x"), "x", "y"), 2)
 
 
+# Away from the knots, with knots on curves that these splines reproduce: a cubic, and a line.
+
+
+def _on_curve(spark: SparkSession, d: str, y: Column) -> tuple[DataFrame, DataFrame]:
+    k, t = _knots(spark, d)
+    return k.withColumn("y", y), t
+
+
+@query("cubic_spline", f"WITH {KNOTS} SELECT x, round(x ** 3 / 50 - x ** 2 / 3 + 2 * x - 7, 4) + 0.0 AS y FROM t WHERE x BETWEEN (SELECT min(x) FROM k) AND (SELECT max(x) FROM k)")
+def _(spark, d):
+    x = F.col("x")
+    k, t = _on_curve(spark, d, F.pow(x, 3) / 50 - F.pow(x, 2) / 3 + 2 * x - 7)
+    out = interpolation.CubicSpline.fit(k, "x", "y").predict(t, "x", "y", extrapolate=False)
+    return rounded(out.where(~F.isnan("y")), 4)
+
+
+@query("bezier_spline", f"WITH {KNOTS} SELECT x, round(1.5 * x - 4, 4) + 0.0 AS y FROM t WHERE x BETWEEN (SELECT min(x) FROM k) AND (SELECT max(x) FROM k)")
+def _(spark, d):
+    k, t = _on_curve(spark, d, 1.5 * F.col("x") - 4)
+    ends = k.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+    return rounded(interpolation.BezierSpline.fit(k, "x", "y").predict(t.where(F.col("x").between(ends["a"], ends["b"])), "x", "y"), 4)
+
+
 @query("asof_join", "SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate")
 def _(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts")).agg(F.max("o_orderkey").alias("o_orderkey"))
@@ -781,7 +839,12 @@ query("trapezoidal_uniform", EV + "SELECT user_id, round(0.5 * (sum(y) - (arg_mi
 SIMPSON = EV + """, s AS (SELECT user_id, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, lead(y) OVER w AS y1, lead(y, 2) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY user_id ORDER BY x)),
 a AS (SELECT user_id, CASE WHEN i % 2 = 1 AND i <= n - 2 THEN 0.5 / 3 * (y + 4 * y1 + y2) ELSE 0 END + CASE WHEN n % 2 = 0 AND i = n - 1 THEN 0.25 * (y + y1) ELSE 0 END AS f FROM s) SELECT user_id, round(sum(f), 5) + 0.0 AS integral FROM a GROUP BY user_id"""
 query("simpson_uniform", SIMPSON)(lambda spark, d: rounded(integrate.simpson_uniform(_events(spark, d), "x", "y", 0.5, "first", ["user_id"]), 5))
-query("simpson")(lambda spark, d: rounded(integrate.simpson(_events(spark, d), "x", "y", "avg", ["user_id"]), 4))
+UNEVEN = EV + """, s AS (SELECT user_id, x, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, lead(x) OVER w - x AS h0, lead(x, 2) OVER w - lead(x) OVER w AS h1, lead(y) OVER w AS y1, lead(y, 2) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY user_id ORDER BY x)),
+a AS (SELECT *, (h0 + h1) / 6 * ((2 - h1 / h0) * y + (h0 + h1) ** 2 / (h0 * h1) * y1 + (2 - h0 / h1) * y2) AS area, h0 * (y + y1) / 2 AS step FROM s),
+f AS (SELECT user_id, CASE WHEN i % 2 = 1 AND i <= n - 2 THEN area ELSE 0 END + CASE WHEN n % 2 = 0 AND i = n - 1 THEN step ELSE 0 END AS f,
+  CASE WHEN (i + n) % 2 = 0 AND i <= n - 2 THEN area ELSE 0 END + CASE WHEN n % 2 = 0 AND i = 1 THEN step ELSE 0 END AS l FROM a)
+SELECT user_id, round((sum(f) + sum(l)) / 2, 4) + 0.0 AS integral FROM f GROUP BY user_id"""
+query("simpson", UNEVEN)(lambda spark, d: rounded(integrate.simpson(_events(spark, d), "x", "y", "avg", ["user_id"]), 4))
 
 # Model selection, optimisers, manifolds.
 
@@ -808,7 +871,14 @@ def _(spark, d):
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(s[0])], "fold int, mae double"), 4)
 
 
-@query("grid_search")
+GRID = """WITH f AS (SELECT ((row_number() OVER (ORDER BY p_partkey) - 1) // (count(*) OVER () // 3))::INT AS fold, p_size::DOUBLE AS x, p_retailprice AS y FROM part),
+o AS (SELECT unnest([0.1, 10.0]) AS alpha), g AS (SELECT fold::INT AS fold FROM generate_series(0, 2) AS s(fold)),
+m AS (SELECT alpha, g.fold, covar_pop(f.x, f.y) * count(*) / (var_pop(f.x) * count(*) + alpha) AS a, avg(f.x) AS mx, avg(f.y) AS my FROM f JOIN g ON f.fold <> g.fold AND f.fold < 3, o GROUP BY alpha, g.fold),
+e AS (SELECT alpha, m.fold, avg((f.y - my - a * (f.x - mx)) ** 2) AS mse FROM m JOIN f ON f.fold = m.fold GROUP BY alpha, m.fold)
+SELECT alpha::DOUBLE AS alpha, round(avg(mse), 3) + 0.0 AS mse FROM e GROUP BY alpha"""
+
+
+@query("grid_search", GRID)
 def _(spark, d):
     part = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
 
@@ -816,7 +886,36 @@ def _(spark, d):
         return [regression.mean_square_error(linear.RidgeRegression.fit(train, ["x"], "y", o["alpha"]).predict(test), "y", "prediction").first()[0]]
 
     s = model_selection.grid_search(part, lambda t: model_selection.k_fold_split(t, 3, "p_partkey"), score, {"alpha": [0.1, 10.0]})
-    return spark.createDataFrame([(o["alpha"], float(v[0])) for o, v in s], "alpha double, mse double")
+    return spark.createDataFrame([(o["alpha"], float(v[0])) for o, v in s], "alpha double, mse double").select("alpha", rd("mse", 3).alias("mse"))
+
+
+WEIGHTED = """WITH f AS (SELECT ((row_number() OVER (ORDER BY p_partkey) - 1) // (count(*) OVER () // 4))::INT AS fold, p_size::DOUBLE AS x, p_retailprice AS y, (1 + p_partkey % 3)::DOUBLE AS w FROM part),
+g AS (SELECT fold::INT AS fold FROM generate_series(0, 3) AS s(fold)), o AS (SELECT unnest([{alphas}]) AS alpha),
+t AS (SELECT g.fold, sum(w) AS sw, sum(w * f.x) / sum(w) AS mx, sum(w * f.y) / sum(w) AS my FROM f JOIN g ON f.fold <> g.fold AND f.fold < 4 GROUP BY g.fold),
+m AS (SELECT alpha, t.fold, mx, my, sum(w * (f.x - mx) * (f.y - my)) / (sum(w * (f.x - mx) ** 2) + alpha) AS a FROM f JOIN t ON f.fold <> t.fold AND f.fold < 4, o GROUP BY alpha, t.fold, mx, my),
+e AS (SELECT alpha, m.fold, avg(abs(f.y - my - a * (f.x - mx))) AS mae FROM m JOIN f ON f.fold = m.fold GROUP BY alpha, m.fold) """
+
+
+def _weighted_part(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (1 + F.col("p_partkey") % 3).cast("double").alias("w"))
+
+
+@query("weighted_cross_validate", WEIGHTED.format(alphas="0.0") + "SELECT fold, round(mae, 4) + 0.0 AS mae FROM e")
+def _(spark, d):
+    def score(train: DataFrame, test: DataFrame, weight: str) -> list[float]:
+        return [regression.mean_absolute_error(linear.LinearRegression.fit(train, ["x"], "y", weight).predict(test), "y", "prediction").first()[0]]
+
+    s = model_selection.weighted_cross_validate(_weighted_part(spark, d), "w", lambda t: model_selection.k_fold_split(t, 4, "p_partkey"), score)
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(s[0])], "fold int, mae double"), 4)
+
+
+@query("weighted_grid_search", WEIGHTED.format(alphas="0.5, 2000.0") + "SELECT alpha::DOUBLE AS alpha, 'w' AS weights, round(avg(mae), 4) + 0.0 AS mae FROM e GROUP BY alpha")
+def _(spark, d):
+    def score(train: DataFrame, test: DataFrame, weight: str, o: dict) -> list[float]:
+        return [regression.mean_absolute_error(linear.RidgeRegression.fit(train, ["x"], "y", o["alpha"], weight).predict(test), "y", "prediction").first()[0]]
+
+    s = model_selection.weighted_grid_search(_weighted_part(spark, d), ["w"], lambda t: model_selection.k_fold_split(t, 4, "p_partkey"), score, {"alpha": [0.5, 2000.0]})
+    return rounded(spark.createDataFrame([(o["alpha"], o["weights"], float(v[0])) for o, v in s], "alpha double, weights string, mae double"), 4)
 
 
 def _minimum(spark: SparkSession, x: float) -> DataFrame:

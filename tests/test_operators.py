@@ -125,7 +125,7 @@ def test_tweedie_domain(spark):
 
 
 def test_dcg_by_hand(spark):
-    rel, score = [3, 2, 3, 0, 1, 2], [3.0, 2.2, 3.5, 0.5, 1.0, 2.1]
+    rel, score = [1, 4, 0, 2, 5, 3, 1], [0.4, 7.1, 2.6, 5.0, 4.2, 0.9, 6.3]
     df = spark.createDataFrame(list(zip(rel, score)), "r int, s double")
     order = sorted(zip(score, rel), reverse=True)
     assert abs(regression.dcg(df, "r", "s").first()[0] - sum(r / math.log2(k + 2) for k, (_, r) in enumerate(order))) < 1e-12
@@ -173,6 +173,83 @@ def test_approximate_neighbours_recall(spark):
         assert neighbors.neighbors_recall(true, got).first()[0] >= 0.9
 
 
+def test_kd_tree_in_step(spark):
+    """All queries together, with equal points and distances, fewer points than neighbours, and every metric."""
+    rng = np.random.default_rng(12)
+    for n, dim, k in ((40, 2, 5), (200, 8, 3), (3, 2, 5)):
+        x = rng.integers(0, 4, (n, dim)).astype(float)
+        ids, q = rng.permutation(n), np.vstack([x, rng.integers(0, 4, (30, dim)) + 0.5])
+        order = neighbors.KDTree.permutation(x)
+        for metric in ("euclidean", "squared_euclidean", "manhattan", "chebyshev", "cosine", ("minkowski", 3)):
+            d, found = neighbors.KDTree(ids[order], x[order], k, metric).search_many(q)
+            true = neighbors.distances(q, x, metric)
+            for r in range(len(q)):
+                best = sorted(zip(true[r].tolist(), ids.tolist()))[:k]
+                assert [i for i in found[r].tolist() if i >= 0] == [i for _, i in best] or np.allclose(sorted(d[r][found[r] >= 0]), [v for v, _ in best])
+                assert (found[r] >= 0).sum() == min(n, k)
+
+
+def test_search_graph(spark):
+    """A prepared graph finds the neighbours of new points, and is smaller than both ways of the whole graph."""
+    rng = np.random.default_rng(13)
+    points, _ = frame(spark, rng.normal(size=(400, 5)))
+    new, _ = frame(spark, rng.normal(size=(60, 5)))
+    fitted = neighbors.NNDescent.fit(points, 8, max_candidates=20, max_iterations=5)
+    graph = fitted.prepare()
+    assert graph.edges.count() < 2 * fitted.graph.count()
+    assert graph.edges.groupBy("n").count().agg(F.max("count")).first()[0] <= 24
+    true = neighbors.BruteKNN.fit(points, 5, metric="squared_euclidean").predict(new)
+    got = graph.query(new, 5)
+    assert got.count() == 300
+    assert neighbors.neighbors_recall(true, got).first()[0] >= 0.95
+    assert neighbors.neighbors_recall(true, graph.query(new.limit(5), 5)).first()[0] >= 0.05  # the same graph again
+
+
+def test_imputation_of_other_rows(spark):
+    donors = spark.createDataFrame([(1, 0.0, 10.0), (2, 1.0, 20.0), (3, 9.0, 90.0)], "id long, a double, b double")
+    new = spark.createDataFrame([(1, 8.0, None), (7, None, None), (8, 0.4, 5.0)], "id long, a double, b double")
+    m = neighbors.KNNImputer.fit(donors, "id", ["a", "b"], 1)
+    got = {r.id: (r.a, r.b) for r in m.transform(new).collect()}
+    assert got[1] == (8.0, 90.0) and got[8] == (0.4, 5.0)
+    assert got[7][0] is None or math.isnan(got[7][0])  # nothing in common with any donor
+
+
+def test_sums_of_arrays(spark):
+    from latticework.functions import sums
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(500, 3))
+    df = spark.createDataFrame([(int(k % 4), r.tolist()) for k, r in enumerate(x)], "g int, s array<double>").repartition(37)
+    got = sums.array_sums(df)
+    assert sorted(got) == [0, 1, 2, 3]
+    assert all(np.allclose(got[g], x[g::4].sum(0)) for g in got)
+    part = lambda b: b.column(1).flatten().to_numpy().reshape(-1, 3).sum(0)
+    assert np.allclose(sums.total(df, part), x.sum(0)) and np.allclose(sums.total(df, part, 37), x.sum(0)) and np.allclose(sums.total(df.coalesce(2), part, 2), x.sum(0))
+    assert sums.array_sums(df.limit(0)) == {}
+
+
+def test_targets(spark):
+    df = spark.createDataFrame([(1.0, "a", [1.0])], "x double, s string, a array<double>")
+    for y in ("s", "a", "nothing"):
+        with pytest.raises(ValueError):
+            linear.LinearRegression.fit(df, ["x"], y)
+
+
+def test_curves_of_weights_and_of_one_class(spark):
+    rng = np.random.default_rng(15)
+    s, y, w = np.round(rng.normal(size=400), 1), rng.integers(0, 2, 400), rng.uniform(0.5, 2, 400)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(s, y, w)], "s double, y int, w double").repartition(5)
+    p, n = y == 1, y == 0
+    each = np.outer(w[p], w[n]) * ((s[p][:, None] > s[n]) + 0.5 * (s[p][:, None] == s[n]))
+    assert abs(classification.roc_auc_score(df, "y", "s", "w").first()[0] - each.sum() / w[p].sum() / w[n].sum()) < 1e-12
+    got = {r.threshold: (r.precision, r.recall) for r in classification.precision_recall_curve(df, "y", "s", "w").collect()}
+    for t in set(s.tolist()):
+        up = s >= t
+        assert np.allclose(got[t], (w[up & p].sum() / w[up].sum(), w[up & p].sum() / w[p].sum()))
+    assert math.isnan(classification.roc_auc_score(df.where("y = 1"), "y", "s").first()[0])
+    assert classification.average_precision_score(df.where("y = 0"), "y", "s").first()[0] == 0
+
+
 def test_distance_weights(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 2.0), (2, 4.0), (2, 0.5)], "query_id int, d double")
     w = df.select("query_id", "d", neighbors.inverse_distance_weights(F.col("d")).alias("w")).collect()
@@ -309,9 +386,9 @@ def test_optimisers():
     for out in (optimize.BFGS.minimize(np.array([-1.0, 2.0]), rosen), optimize.NelderMead.minimize(np.array([-1.0, 2.0]), rosen, 1e-8, 2000)):
         assert out.converged and np.allclose(out.x, [1, 1], atol=1e-3)
     for m in (optimize.Brent, optimize.GoldenSection):
-        out = m.minimize(0.0, 5.0, lambda v: (v - 3) ** 2)
-        assert out.converged and abs(out.x - 3) < 1e-4
-    assert optimize.Brent.minimize(0.0, 5.0, lambda v: (v - 3) ** 2).fun_evals < 12
+        out = m.minimize(-2.0, 9.0, lambda v: 2 * (v - 1.75) ** 2 + 1)
+        assert out.converged and abs(out.x - 1.75) < 1e-4
+    assert optimize.Brent.minimize(-2.0, 9.0, lambda v: 2 * (v - 1.75) ** 2 + 1).fun_evals < 12
 
 
 def test_folds(spark):
