@@ -105,8 +105,8 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
             take(n)
             inside.append(n)
             gap -= n
-        if gap and len(inside) > 1 and there:
-            least = inside[-1]  # pieces go in by falling length
+        if gap and there:
+            least = inside[-1]  # pieces go in by falling length; it may be the only one
             if swap := pair(gap + least, least):
                 inside.pop()
                 for n in swap:
