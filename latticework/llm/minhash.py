@@ -293,3 +293,19 @@ def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, plan: Tensore
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, width=2).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM d, unnest(generate_series(1, greatest(len(w) - 1, least(len(w), 1)))) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT g, row_number() OVER () AS k, count(*) AS c FROM s GROUP BY g),
+o AS (SELECT s.doc_id, k.k, k.c, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY k.c, k.k) AS r FROM s JOIN k USING (g) JOIN n USING (doc_id)),
+-- Two sets of a similarity of 0.8 share one of the rarest fifth of either: only those few are joined.
+f AS (SELECT doc_id, k, n FROM o WHERE r <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM f a JOIN f b ON a.k = b.k AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+p AS (SELECT c.a, c.b FROM c JOIN o x ON x.doc_id = c.a JOIN o y ON y.doc_id = c.b AND y.k = x.k GROUP BY c.a, c.b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (WITH RECURSIVE t(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT t.x, l.b FROM t JOIN l ON t.y = l.a) SELECT x, min(y) AS m FROM t GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.m AS component_id, d.doc_id = r.m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id
+"""

@@ -19,5 +19,6 @@ ORACLE_SQL = {
     "op1_chat_format": chat_format.SQL,
     "op8_embedding_near_dedup": embedding_dedup.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
+    "op9_minhash_near_dedup": minhash.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
