@@ -6,6 +6,10 @@ the path; there are no backpointers and no ids. Ties are the tokenizer's: of equ
 whose last piece starts first. Unknown characters count as their UTF-8 bytes where the model falls back
 to bytes, and otherwise as one token a run.
 
+The distinct chunks of a run of texts are counted once each. The model is read as unigram whatever its type
+(see _pieces.as_unigram): from a BPE file, counts are those of the unigram search over its pieces and
+scores, not those of the file's own merges.
+
 Defined results: null and empty texts have no token; repeated rows are counted one by one; other
 columns pass through.
 """
@@ -15,14 +19,17 @@ from __future__ import annotations
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ._common import free_name, map_batches, text_bytes
+from ._common import Store, free_name, map_batches
 from ._pieces import Pieces, default_path, pieces
 
-KEPT_CHUNKS = 300_000
+#: Length of the chunks kept a process, with eight for each count.
+KEPT_BYTES = 16 << 20
+#: Texts are counted in runs of about this many bytes; one longer text makes a run of its own.
+RUN_BYTES = 8 << 20
 
 
 class Counter:
@@ -32,7 +39,7 @@ class Counter:
         for text, score in model.scores.items():
             self.automaton.add_word(text, (len(text), score))
         self.automaton.make_automaton()
-        self.kept: dict[str, int] = {}
+        self.kept = Store(KEPT_BYTES)
 
     def _count(self, text: str) -> int:
         n = len(text)
@@ -62,16 +69,30 @@ class Counter:
                 count[end] = count[at] + (not unknown[at])
         return count[n]
 
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Tokens of each text of a column; a null has none."""
+        out, texts, size = [np.zeros(0, np.int64)], [], 0
+        for t in column.to_pylist():
+            texts.append(t or "")
+            size += len(texts[-1])
+            if size >= RUN_BYTES:
+                out.append(self._run(texts))
+                texts, size = [], 0
+        return np.concatenate([*out, self._run(texts)])
+
+    def _run(self, texts: list[str]) -> np.ndarray:
+        chunks: list[str] = []
+        ends = [0]
+        for t in texts:
+            chunks += self.model.chunks(t)
+            ends.append(len(chunks))
+        coded = pa.array(chunks, pa.large_string()).dictionary_encode()
+        each = self.kept.look(coded.dictionary.to_pylist(), lambda new: {c: self._count(c) for c in new}, lambda _: 8)
+        total = np.concatenate([[0], np.cumsum(np.array(each, np.int64)[coded.indices.to_numpy()])])
+        return np.diff(total[ends])
+
     def count(self, text: str) -> int:
-        kept, total = self.kept, 0
-        for c in self.model.chunks(text):
-            n = kept.get(c)
-            if n is None:
-                if len(kept) >= KEPT_CHUNKS:
-                    kept.clear()
-                n = kept[c] = self._count(c)
-            total += n
-        return total
+        return int(self._run([text])[0])
 
 
 @lru_cache(maxsize=2)
@@ -89,8 +110,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, output: str = "n_toke
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = counter(path)
-        n = [own.count((t or b"").decode("utf-8", "replace")) for t in text_bytes(batch.column(at))]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*taken, name])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.counts(batch.column(at)))], [*taken, name])
 
     return map_batches(docs, run, schema)
 

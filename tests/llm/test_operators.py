@@ -376,6 +376,22 @@ def test_best_two_fit_swaps():
     assert offsets.tolist() == [0, 0, 60, 81]
 
 
+def test_best_two_fit_of_a_single_piece():
+    # 60 stands alone with a gap of 40; 45 and 50 fill its bin better.
+    bins, offsets = packing.best_two_fit(np.array([60, 45, 50]), 100)
+    assert bins.tolist() == [1, 0, 0] and sorted(offsets.tolist()) == [0, 0, 50]
+
+
+def test_packing_is_near_the_bound():
+    r = np.random.default_rng(9)
+    lengths = np.minimum(np.exp(r.normal(6, 1.2, 20_000)).astype(int) + 1, 4096)
+    bins, offsets = packing.best_two_fit(lengths)
+    used = np.bincount(bins, lengths)
+    assert used.max() <= 4096 and len(used) <= -(-lengths.sum() // 4096) * 1.002 + 1
+    order = np.lexsort((offsets, bins))
+    assert (offsets[order][1:] == np.where(np.diff(bins[order]) > 0, 0, offsets[order][:-1] + lengths[order][:-1])).all()
+
+
 def test_packing_full_pieces_and_empty(empty):
     bins, _ = packing.best_two_fit(np.array([100, 100, 50, 50, 1]), 100)
     assert len(set(bins.tolist())) == 4
@@ -521,6 +537,19 @@ def test_pieces_of_a_long_chunk(library, monkeypatch):
     assert [own.decode(np.frombuffer(x, "<i4")) for x in expected] == texts
 
 
+def test_counts_in_runs_with_a_small_store(edges, monkeypatch):
+    from latticework.llm._pieces import default_path
+
+    count = token_counts.Counter(sentencepiece_codec.codec(default_path()).model)
+    texts = [r.text for r in edges.collect()]
+    whole = count.counts(pa.array(texts)).tolist()
+    monkeypatch.setattr(token_counts, "RUN_BYTES", 50)
+    count.kept = token_counts.Store(200)
+    assert count.counts(pa.array(texts)).tolist() == whole
+    assert count.kept.size <= 200
+    assert count.counts(pa.array([], pa.string())).tolist() == []
+
+
 def test_pieces_empty(empty):
     assert sentencepiece_codec.encode(empty).count() == 0
     assert token_counts.count_tokens(empty).count() == 0
@@ -597,3 +626,30 @@ def test_chats(spark):
     assert got[3].n_turns == 5
     assert got[3].text.startswith("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>unknown\nx")
     assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_chats_clashing_columns_and_long_turns(spark):
+    long = "word " * 200_000
+    rows = [(1, 0, "user", long, 7, "x"), (1, 1, "assistant", long + "!", 7, "x"), (2, 0, "user", long, 8, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int, p1 string")
+    got = chat_format.format_chats(df).collect()
+    assert [(r.conv_id, r.n_turns) for r in got] == [(1, 2)]
+    assert got[0].text == f"<|im_start|>user\n{long}<|im_end|>\n<|im_start|>assistant\n{long}!<|im_end|>\n"
+
+
+# Queries with SQL, whole tables.
+
+
+@pytest.mark.parametrize("name", ["op1_chat_format", "op3_substring_dedup", "op8_embedding_near_dedup", "op9_minhash_near_dedup", "op10_line_dedup"])
+def test_llm_query(spark, sf, name):
+    import duckdb
+
+    from latticework.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    expected = con.execute(queries.ORACLE_SQL[name])
+    at = [[d[0] for d in expected.description].index(c) for c in df.columns]
+    assert sorted(map(str, (tuple(r[k] for k in at) for r in expected.fetchall()))) == sorted(map(str, map(tuple, df.collect())))

@@ -41,6 +41,22 @@ def test_stages(spark, sf, tmp_path):
         before = after
 
 
+@pytest.mark.parametrize("rows", ["edges", "empty"])
+def test_stages_with_nulls_and_without_rows(spark, sf, tmp_path, edges, rows):
+    """Every stage on texts with nulls, blanks, repeats and a row without an id; and on no rows."""
+    docs = edges.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(None).cast("long").alias("n_chars"))
+    docs = docs.limit(0) if rows == "empty" else docs
+    for k, (name, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        assert (after.count() > 0) == (rows == "edges")
+        if k < 4:
+            assert after.columns == list(cp.COLUMNS)
+            # Each stage alone, on all rows; the next takes the same, of which more are odd than the one before would leave.
+            if name in ("line_dedup", "substring_dedup"):
+                assert after.count() == docs.count()
+
+
 def test_run_is_the_stages(spark, sf):
     out = cp.run(spark, sf)
     assert out.count() > 0
