@@ -6,13 +6,18 @@ the second collection is a table key, so that m^2 tables of 2 half minimums cost
 about a square root of them. At similarity s a pair of documents shares no table only if one of the
 collections has no sub-key in common: odds below 2 (1 - s^half)^m.
 
-Documents of equal sets are one class, represented by its smallest id. Each member of a bucket is paired
-with the bucket's first, and pairs whose minimums are unlike (an estimate under ``floor``: at 0.8, 128
-minimums fall under 0.5 with odds of 1e-14) go. What the other pairs connect is a pool. Two documents of
-similarity 0.8 share about a sixth of the tables, and one bucket whose first is like both of them, or is
-one of them, puts them into one pool. In a pool, full sets decide: all pairs that are not connected yet
-are compared, in one task for usual pools and in tiles of TILE documents for large ones, so that a group
-of near copies of any size is whole and no list of pairs is ever made.
+Documents of equal sets are one document from then on, that of the smallest id. Each member of a bucket is
+paired with the bucket's first, and pairs whose minimums are unlike (an estimate under ``floor``: at 0.8,
+128 minimums fall under 0.5 with odds of 1e-14) go. What the other pairs connect is a pool. Two documents
+of similarity 0.8 share about a sixth of the tables, and one bucket whose first is like both of them, or
+is one of them, puts them into one pool.
+
+Full sets decide, in two steps. First, each document is compared with the most alike of the firsts that it
+is paired with; the links found make *stars*, which hold nearly all of a group of near copies after as many
+comparisons as it has documents. Then, in a pool that is more than one star, every document outside the
+largest star is compared with all documents of the pool outside its own star: in one task for usual pools,
+in tiles of TILE documents for large ones. So a group of near copies of any size is whole, at a cost that
+grows with its size times the number of documents outside its largest star, and no list of pairs is made.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; rows with a null
 doc_id link with nothing and have a null component; rows that repeat a doc_id are one node, judged
@@ -146,107 +151,123 @@ def _estimate(pairs: DataFrame, reps: DataFrame, plan: Tensored, floor: float) -
     return map_batches(both.select("a", "b", "ma", "mb"), run, "a long, b long, share double")
 
 
-def _edges_of_sets(docs: list[int], sets: list[set], percent: int) -> list[tuple[int, int]]:
-    """Edges that connect whatever is linked; what is connected already is not compared again."""
-    root, edges = list(range(len(docs))), []
+def linked(x: set, y: set, percent: int) -> bool:
+    common = len(x & y)
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _stars(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that are linked. A star's many rows are on the pairs' side of the join, where Spark splits them."""
+    left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, center = None, set()
+        for batch in batches:
+            keep = []
+            for b, ta, tb in zip(batch.column(1).to_pylist(), text_bytes(batch.column(2)), text_bytes(batch.column(3))):
+                if (b, tb) != last:
+                    last, center = (b, tb), shingle_set(tb, width)
+                keep.append(linked(shingle_set(ta, width), center, percent))
+            out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if out.num_rows:
+                yield out
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _edges_of_sets(left: list[tuple[int, int, set]], right: list[tuple[int, int, set]], percent: int) -> list[tuple[int, int]]:
+    """Edges between the stars of (doc, star, set) that connect all that are linked; what is connected already is not compared again."""
+    root: dict[int, int] = {}
 
     def find(k: int) -> int:
+        root.setdefault(k, k)
         while root[k] != k:
             root[k] = root[root[k]]
             k = root[k]
         return k
 
-    order = sorted(range(len(docs)), key=lambda k: len(sets[k]))
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            if 100 * len(sets[i]) < percent * len(sets[j]):
-                break  # all further sets are too large
-            if find(i) != find(j):
-                common = len(sets[i] & sets[j])
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    root[find(i)] = find(j)
-                    edges.append((docs[i], docs[j]))
+    edges = []
+    for _, star, own in left:
+        for _, other, its in right:
+            if 100 * min(len(own), len(its)) >= percent * max(len(own), len(its)) and find(star) != find(other) and linked(own, its, percent):
+                root[find(star)] = find(other)
+                edges.append((star, other))
     return edges
 
 
-def _edges_of_matrix(docs: np.ndarray, shingles: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """The same for large pools: sizes of all intersections at once, from the names of the shingles.
+def _edges_of_matrix(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """The same for many: sizes of all intersections at once, from the names of the shingles.
 
-    Rare shingles add to the pairs that have them, the others are columns of a matrix of 0 and 1.
-    ``side``: only pairs of unlike sides are compared.
+    Columns are the shingles that both sides have: a matrix of 0 and 1 a side, so many columns at a time.
     """
-    n, size = len(docs), np.array([len(s) for s in shingles])
-    name, owner = np.concatenate(shingles), np.repeat(np.arange(n), size)
-    order = np.argsort(name, kind="stable")
-    name, owner = name[order], owner[order]
-    head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-    count = np.diff(np.append(head, len(name)))
-    each = np.repeat(count, count)
-    common = np.zeros((n, n), np.float32)
-    rare = (each >= 2) & (each <= 8)
-    for step in range(1, 8):
-        at = np.flatnonzero(rare[:-step] & (name[:-step] == name[step:]))
-        np.add.at(common, (owner[at], owner[at + step]), 1)
-    common += common.T
-    column = np.repeat(np.cumsum(count > 8) - 1, count)
-    often = each > 8
-    column, owner = column[often], owner[often]
-    for first in range(0, int(column.max()) + 1 if len(column) else 0, 2048):
-        own = (column >= first) & (column < first + 2048)
-        x = np.zeros((n, 2048), np.float32)
-        x[owner[own], column[own] - first] = 1
-        common += x @ x.T
-    linked = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common.astype(np.int64))
-    np.fill_diagonal(linked, False)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
-    low = np.arange(n)
-    while True:
-        new = np.minimum(low, np.where(linked, low[None, :], n).min(1, initial=n))
-        if (new == low).all():
-            break
-        low = new
-    at = np.flatnonzero(low != np.arange(n))
-    return list(zip(docs[at].tolist(), docs[low[at]].tolist()))
+    names = [np.concatenate([x[2] for x in side]) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [len(x[2]) for x in side]) for side in (left, right)]
+    both = np.intersect1d(*names)
+    place = [np.minimum(np.searchsorted(both, n), max(len(both) - 1, 0)) for n in names]
+    there = [both[p] == n if len(both) else np.zeros(len(n), bool) for p, n in zip(place, names)]
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = [np.flatnonzero(t)[np.argsort(p[t], kind="stable")] for t, p in zip(there, place)]
+    for first in range(0, len(both), COLUMNS):
+        x = []
+        for side, o, p, n in zip((left, right), order, place, owner):
+            a, b = np.searchsorted(p[o], [first, first + COLUMNS])
+            x.append(np.zeros((len(side), min(COLUMNS, len(both) - first)), np.float32))
+            x[-1][n[o[a:b]], p[o[a:b]] - first] = 1
+        common += x[0] @ x[1].T
+    size = [np.array([len(x[2]) for x in side]) for side in (left, right)]
+    stars = [np.array([x[1] for x in side]) for side in (left, right)]
+    common = common.astype(np.int64)
+    hit = (common > 0) & (100 * common >= percent * (size[0][:, None] + size[1][None, :] - common)) & (stars[0][:, None] != stars[1][None, :])
+    i, j = np.nonzero(hit)
+    return list(map(tuple, np.unique(np.stack([stars[0][i], stars[1][j]], 1), axis=0).tolist())) if len(i) else []
+
+
+#: Shingles of a matrix at a time.
+COLUMNS = 4096
 
 
 def _pool_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) of the documents (pool, i, j, tile, doc, text) of each (pool, i, j), which come one pool after another."""
-
-    def edges(pool: list[tuple]) -> list[tuple[int, int]]:
-        docs, tiles, texts = [p[1] for p in pool], np.array([p[2] for p in pool]), [p[3] for p in pool]
-        one_tile = pool[0][0][1] == pool[0][0][2]
-        if len(pool) <= SMALL_POOL and one_tile:
-            return _edges_of_sets(docs, [shingle_set(t, width) for t in texts], percent)
-        shingles = []
-        for first, last, names, split, _, _ in word_runs(pa.array(texts, pa.binary()), lower=True):
+    """Edges (a, b) between stars, of the rows (pool, i, j, side, doc, star, text) of each (pool, i, j), which come one after another."""
+
+    def edges(rows: list[tuple]) -> list[tuple[int, int]]:
+        sides: list[list[tuple]] = [[], []]
+        if len(rows) <= SMALL_POOL:
+            sets: dict[bytes, set] = {}
+            for _, side, doc, star, text in rows:
+                if text not in sets:
+                    sets[text] = shingle_set(text, width)
+                sides[side].append((doc, star, sets[text]))
+            return _edges_of_sets(*sides, percent)
+        for first, last, names, split, _, _ in word_runs(pa.array([r[4] for r in rows], pa.binary()), lower=True):
             for k in range(last - first):
                 own = names[split[k] : split[k + 1]]
-                shingles.append(np.unique(windows(own, min(width, max(len(own), 1)), seed=min(width, len(own)))))
-        return _edges_of_matrix(np.array(docs), shingles, None if one_tile else tiles, percent)
+                _, side, doc, star, _ = rows[first + k]
+                sides[side].append((doc, star, np.unique(windows(own, min(width, max(len(own), 1)), seed=min(width, len(own))))))
+        return _edges_of_matrix(*sides, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            if len(pool) > 1 and (found := edges(pool)):
+            if len({r[1] for r in pool}) == 2 and (found := edges(pool)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
         for batch in batches:
             keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
-            for key, tile, doc, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), text_bytes(batch.column(5))):
+            for key, side, doc, star, text in zip(keys, *(batch.column(k).to_pylist() for k in (3, 4, 5)), text_bytes(batch.column(6))):
                 if pool and pool[0][0] != key:
                     yield from out()
                     pool = []
-                pool.append((key, doc, tile, text))
+                pool.append((key, side, doc, star, text))
         yield from out()
 
     n = partitions_of(rows.sparkSession)
     return rows.repartition(n, "pool", "i", "j").sortWithinPartitions("pool", "i", "j").mapInArrow(run, "a long, b long")
 
 
-#: Documents of a tile, bytes of text that count as one document, and documents up to which sets are compared one by one.
-TILE, TILE_BYTES, SMALL_POOL = 1024, 16_384, 48
+#: Documents of a tile, bytes of text that count as one document, and rows up to which sets are compared one by one.
+TILE, TILE_BYTES, SMALL_POOL = 512, 16_384, 64
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Tensored = Tensored()) -> DataFrame:
@@ -263,21 +284,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Te
     scratch.drop("signed", "least")
     stars = scratch.put(_members(_table_rows(reps, plan)), "stars")
     scratch.release()
-    near = scratch.put(_estimate(stars.distinct(), reps, plan, plan.floor).select("a", "b"), "near")
+    near = scratch.put(_estimate(stars.distinct(), reps, plan, plan.floor), "near")
     scratch.drop("stars", "reps")
-    pools = connected_components(scratch, near, "pools")
-    # A pool of many documents is cut into tiles; each pair of tiles is compared by itself.
+    scratch.release()
+    pools = connected_components(scratch, near.select("a", "b"), "pools").withColumnsRenamed({"node": "doc", "component": "pool"})
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    pooled = own.join(pools.select(F.col("node").alias("doc"), F.col("component").alias("pool")).hint("merge"), "doc")
-    pooled = scratch.put(pooled.withColumn("weight", 1 + F.octet_length("text") / TILE_BYTES), "pooled")
-    large = scratch.put(pooled.groupBy("pool").agg(F.ceil(F.sum("weight") / TILE).alias("tiles")).where("tiles > 1"), "large")
-    tiled = pooled.join(large, "pool", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long"))).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")))
-    tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("pool", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "doc", "text")
-    links = scratch.put(_pool_links(tiled, width, percent), "links")
-    scratch.drop("pooled", "large", "near")
+    texts = scratch.put(own.join(pools.select("doc").hint("merge"), "doc"), "texts")
+    scratch.release()
+    # Each document with the most alike of the firsts that it is paired with.
+    best = near.groupBy("a").agg(F.max(F.struct("share", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+    joined = scratch.put(_stars(scratch.put(best, "best"), texts, width, percent), "joined")
+    scratch.drop("best", "near")
+    scratch.release()
+    star_of = connected_components(scratch, joined, "star_of").withColumnsRenamed({"node": "doc", "component": "star"})
+    placed = scratch.put(pools.join(star_of, "doc", "left").select("pool", "doc", F.coalesce("star", "doc").alias("star")), "placed")
+    sizes = placed.groupBy("pool", "star").agg(F.count(F.lit(1)).alias("n"))
+    mixed = scratch.put(sizes.groupBy("pool").agg(F.max(F.struct("n", "star")).alias("top"), F.count(F.lit(1)).alias("stars")).where("stars > 1").select("pool", F.col("top.star").alias("largest")), "mixed")
+    # The documents of pools of several stars; those outside the largest star are compared with all.
+    rows = placed.join(mixed.hint("merge"), "pool").join(texts.hint("merge"), "doc")
+    rows = scratch.put(rows.select("pool", "doc", "star", "text", (F.col("star") != F.col("largest")).alias("outside"), (1 + F.octet_length("text") / TILE_BYTES).alias("weight")), "rows")
+    scratch.drop("texts", "mixed", "placed")
+    scratch.release()
+    tiles = scratch.put(rows.groupBy("pool").agg(F.ceil(F.sum(F.when(F.col("outside"), F.col("weight"))) / TILE).alias("ni"), F.ceil(F.sum("weight") / TILE).alias("nj")), "tiles")
+    tiled = rows.join(tiles.hint("merge"), "pool")
+    at = F.xxhash64("doc")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = tiled.where("outside").select("pool", F.pmod(at, F.col("ni")).alias("i"), every("nj").alias("j"), F.lit(0).alias("side"), "doc", "star", "text")
+    others = tiled.select("pool", every("ni").alias("i"), F.pmod(at, F.col("nj")).alias("j"), F.lit(1).alias("side"), "doc", "star", "text")
+    links = scratch.put(_pool_links(asked.unionAll(others), width, percent), "links")
+    scratch.drop("rows", "tiles")
     scratch.release()
-    comps = connected_components(scratch, links, "components")
-    return members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # Stars that are linked; a star has the name of its smallest document.
+    comps = connected_components(scratch, links, "components").withColumnsRenamed({"node": "star"})
+    final = scratch.put(star_of.join(comps, "star", "left").select("doc", F.coalesce("component", "star").alias("component")).unionAll(comps.join(star_of.select("star").distinct(), "star", "left_anti").select("star", "component")), "final")
+    return members.join(final.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, plan: Tensored = Tensored()) -> DataFrame:

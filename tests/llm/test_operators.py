@@ -252,22 +252,42 @@ def test_near(edges, width):
     assert {r.doc_id for r in kept.collect()} == {None} | {d for d in comps if comps[d] == d}
 
 
-def test_near_in_tiles(edges, monkeypatch):
-    monkeypatch.setattr(minhash, "TILE", 2)
-    rows = [(r.doc_id, r.text) for r in edges.collect()]
+@pytest.mark.parametrize("tile, small", [(2, 0), (2, 1000), (512, 64)])
+def test_near_in_tiles(spark, edges, monkeypatch, tile, small):
+    """Pools of several stars, in tiles, by matrices and by sets; chains whose ends are unlike."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "SMALL_POOL", small)
+    r = random.Random(17)
+    rows = [(x.doc_id, x.text) for x in edges.collect()]
+    for family in range(6):
+        base = [f"f{family}w{r.randint(0, 500)}" for _ in range(160)]
+        for k in range(40):
+            own = list(base)
+            for _ in range(r.choice([2, 6, 10, 14, 18, 30])):
+                own[r.randrange(160)] = f"x{r.randint(0, 10**6)}"
+            rows.append((1000 * family + 500 + k, " ".join(own)))
+            if k % 9 == 0:
+                base[r.randrange(160)] = f"y{family}.{k}"
     _, comps = brute_near(rows, 2, 80)
-    for r in minhash.near_duplicates(edges, 2).collect():
-        assert r.component_id == (None if r.doc_id is None else comps[r.doc_id])
+    assert len(set(comps.values())) > 20
+    for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2).collect():
+        assert x.component_id == (None if x.doc_id is None else comps[x.doc_id])
 
 
-def test_pool_edges_agree():
+def test_star_edges_agree():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 5000, 60)
     sets = [np.unique(np.concatenate([rng.choice(base, 50, replace=False), rng.integers(0, 5000, rng.integers(0, 14))])).astype(np.uint64) for _ in range(70)]
-    docs = list(range(70))
-    one = minhash._edges_of_sets(docs, [set(s.tolist()) for s in sets], 80)
-    two = minhash._edges_of_matrix(np.array(docs), sets, None, 80)
-    assert components(docs, one) == components(docs, two)
+    names = [(k, k // 2, s) for k, s in enumerate(sets)]
+    plain = [(k, star, set(s.tolist())) for k, star, s in names]
+    one = minhash._edges_of_sets(plain[20:], plain, 80)
+    stars = list(range(35))
+    for columns in (7, 4096):
+        minhash.COLUMNS, before = columns, minhash.COLUMNS
+        two = minhash._edges_of_matrix(names[20:], names, 80)
+        minhash.COLUMNS = before
+        assert components(stars, one) == components(stars, two)
+        assert set(map(frozenset, two)) == {frozenset((x[1], y[1])) for x in plain[20:] for y in plain if x[1] != y[1] and minhash.linked(x[2], y[2], 80)}
 
 
 def test_near_empty(empty):
