@@ -12,11 +12,12 @@ paired with the bucket's first, and pairs whose minimums are unlike (an estimate
 of similarity 0.8 share about a sixth of the tables, and one bucket whose first is like both of them, or
 is one of them, puts them into one pool.
 
-Full sets decide, in two steps. First, each document is compared with the most alike of the firsts that it
-is paired with; the links found make *stars*, which hold nearly all of a group of near copies after as many
-comparisons as it has documents. Then, in a pool that is more than one star, every document outside the
-largest star is compared with all documents of the pool outside its own star: in one task for usual pools,
-in tiles of TILE documents for large ones. So a group of near copies of any size is whole, at a cost that
+Full sets decide, in steps. First, each document is compared with the most alike of the firsts that it is
+paired with; the links found make *stars*. In large pools of several stars, documents outside the largest
+star are compared with some of that star. After these, which take about as many comparisons as there are
+documents, nearly all of a group of near copies is one star. At last, in every pool that still is more than
+one star, each document outside the largest is compared with all of the pool outside its own star: in one
+task for usual pools, in tiles of TILE documents for large ones. So a group of near copies of any size is whole, at a cost that
 grows with its size times the number of documents outside its largest star, and no list of pairs is made.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; rows with a null
@@ -298,26 +299,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, plan: Te
     scratch.release()
     star_of = connected_components(scratch, joined, "star_of").withColumnsRenamed({"node": "doc", "component": "star"})
     placed = scratch.put(pools.join(star_of, "doc", "left").select("pool", "doc", F.coalesce("star", "doc").alias("star")), "placed")
+    for step in ("some", "all"):
+        placed = _joined_stars(scratch, placed, texts, step, width, percent)
+    scratch.drop("texts")
+    scratch.release()
+    final = placed.select(F.col("doc").alias("rep"), F.col("star").alias("component"))
+    return members.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+
+def _joined_stars(scratch: Scratch, placed: DataFrame, texts: DataFrame, step: str, width: int, percent: int) -> DataFrame:
+    """``placed`` (pool, doc, star) with the stars joined that are linked; a star has the name of its smallest document.
+
+    Documents outside a pool's largest star are compared with ``all`` of the pool; or, in pools of over TILE
+    documents, with ``some`` of its largest star, about half a tile, which settles most of those that belong to it.
+    """
     sizes = placed.groupBy("pool", "star").agg(F.count(F.lit(1)).alias("n"))
-    mixed = scratch.put(sizes.groupBy("pool").agg(F.max(F.struct("n", "star")).alias("top"), F.count(F.lit(1)).alias("stars")).where("stars > 1").select("pool", F.col("top.star").alias("largest")), "mixed")
-    # The documents of pools of several stars; those outside the largest star are compared with all.
-    rows = placed.join(mixed.hint("merge"), "pool").join(texts.hint("merge"), "doc")
-    rows = scratch.put(rows.select("pool", "doc", "star", "text", (F.col("star") != F.col("largest")).alias("outside"), (1 + F.octet_length("text") / TILE_BYTES).alias("weight")), "rows")
-    scratch.drop("texts", "mixed", "placed")
+    mixed = sizes.groupBy("pool").agg(F.max(F.struct("n", "star")).alias("top"), F.count(F.lit(1)).alias("stars"), F.sum("n").alias("docs")).where("stars > 1")
+    mixed = scratch.put(mixed.where(F.col("docs") > (TILE if step == "some" else 0)).select("pool", F.col("top.star").alias("largest"), F.col("top.n").alias("n")), f"mixed_{step}")
+    outside, at = F.col("star") != F.col("largest"), F.xxhash64("doc")
+    rows = placed.join(mixed.hint("merge"), "pool").withColumn("outside", outside)
+    if step == "some":
+        rows = rows.where(F.col("outside") | (F.pmod(F.xxhash64("doc", F.lit("some")), F.ceil(2 * F.col("n") / TILE)) == 0))
+    rows = rows.join(texts.hint("merge"), "doc").select("pool", "doc", "star", "text", "outside", (1 + F.octet_length("text") / TILE_BYTES).alias("weight"))
+    rows = scratch.put(rows, f"rows_{step}")
     scratch.release()
-    tiles = scratch.put(rows.groupBy("pool").agg(F.ceil(F.sum(F.when(F.col("outside"), F.col("weight"))) / TILE).alias("ni"), F.ceil(F.sum("weight") / TILE).alias("nj")), "tiles")
+    others = ~F.col("outside") if step == "some" else F.lit(True)
+    weigh = lambda c: F.ceil(F.sum(F.when(c, F.col("weight"))) / TILE)
+    tiles = scratch.put(rows.groupBy("pool").agg(weigh(F.col("outside")).alias("ni"), weigh(others).alias("nj")).where("ni > 0 and nj > 0"), f"tiles_{step}")
     tiled = rows.join(tiles.hint("merge"), "pool")
-    at = F.xxhash64("doc")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asked = tiled.where("outside").select("pool", F.pmod(at, F.col("ni")).alias("i"), every("nj").alias("j"), F.lit(0).alias("side"), "doc", "star", "text")
-    others = tiled.select("pool", every("ni").alias("i"), F.pmod(at, F.col("nj")).alias("j"), F.lit(1).alias("side"), "doc", "star", "text")
-    links = scratch.put(_pool_links(asked.unionAll(others), width, percent), "links")
-    scratch.drop("rows", "tiles")
+    left = tiled.where("outside").select("pool", F.pmod(at, F.col("ni")).alias("i"), every("nj").alias("j"), F.lit(0).alias("side"), "doc", "star", "text")
+    right = tiled.where(others).select("pool", every("ni").alias("i"), F.pmod(at, F.col("nj")).alias("j"), F.lit(1).alias("side"), "doc", "star", "text")
+    links = scratch.put(_pool_links(left.unionAll(right), width, percent), f"links_{step}")
+    comps = connected_components(scratch, links, f"components_{step}").withColumnsRenamed({"node": "star"})
+    out = scratch.put(placed.join(comps, "star", "left").select("pool", "doc", F.coalesce("component", "star").alias("star")), f"placed_{step}")
+    scratch.drop(f"mixed_{step}", f"rows_{step}", f"tiles_{step}", f"links_{step}")
     scratch.release()
-    # Stars that are linked; a star has the name of its smallest document.
-    comps = connected_components(scratch, links, "components").withColumnsRenamed({"node": "star"})
-    final = scratch.put(star_of.join(comps, "star", "left").select("doc", F.coalesce("component", "star").alias("component")).unionAll(comps.join(star_of.select("star").distinct(), "star", "left_anti").select("star", "component")), "final")
-    return members.join(final.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return out
 
 
 def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, plan: Tensored = Tensored()) -> DataFrame:
