@@ -164,12 +164,16 @@ class BruteKNN:
 
     def _by_column(self, queries: DataFrame) -> DataFrame:
         """For a metric given as a function that builds a Column."""
-        q = queries.select(F.col(self.id).alias("query_id"), vectors.doubles(self.features).alias("q"))
-        x = self.points.select(F.col(self.id).alias("neighbor_id"), vectors.doubles(self.features).alias("x"))
-        pairs = q.crossJoin(x)
+        slices = max(1, -(-self.points.count() // BLOCK))
+        q = queries.select(F.col(self.id).alias("query_id"), vectors.doubles(self.features).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+        x = self.points.select(F.col(self.id).alias("neighbor_id"), vectors.doubles(self.features).alias("x"), F.pmod(F.xxhash64(self.id), F.lit(slices)).cast("int").alias("slice"))
+        pairs = q.join(x.hint("merge"), "slice")
         if self.exclude_self:
             pairs = pairs.where("query_id <> neighbor_id")
-        return top_k(pairs.select("query_id", "neighbor_id", self.metric(F.col("q"), F.col("x")).alias("distance")), self.num_neighbors)
+        # The best of a slice of points first: a query has at most k rows a slice after that.
+        w = W.partitionBy("slice", "query_id").orderBy("distance", "neighbor_id")
+        best = pairs.select("slice", "query_id", "neighbor_id", self.metric(F.col("q"), F.col("x")).alias("distance")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.num_neighbors)
+        return top_k(best.select("query_id", "neighbor_id", "distance"), self.num_neighbors)
 
 
 def search_among(points: DataFrame, queries: DataFrame, candidates: DataFrame, k: int, id: str = "id", features: str = "features", metric: object = "euclidean") -> DataFrame:
@@ -537,11 +541,14 @@ class NNDescent:
         elif tree_init and n >= 4 * max(10, k):
             start = RandomProjectionForest.fit(points, k, 5 + round(n**0.25), None, seed, id, features, "euclidean").candidates(points).where("query_id <> neighbor_id")
         else:
-            ids = points.select(F.col(id).alias("query_id"))
-            # k random partners a point: the ranks of ids by two seeded hashes are shifted against each other.
-            ring = ids.select("query_id", F.row_number().over(W.orderBy(F.xxhash64("query_id", F.lit(seed)))).alias("r"))
-            shifts = ring.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(min(k, n - 1)))))
-            start = shifts.select("query_id", ((F.col("r") - 1 + F.col("s")) % n + 1).alias("r")).join(ring.withColumnRenamed("query_id", "neighbor_id"), "r").select("query_id", "neighbor_id")
+            from .model_selection import row_numbers
+
+            # k partners a point: the point that stands so many places further on a ring of all ids, for k random shifts.
+            ring = checkpointed(row_numbers(points.select(F.col(id).alias("query_id")), "query_id", "r")[0])
+            few = min(k, n - 1)
+            draws = np.random.default_rng(seed).permutation(n - 1)[:few] if n < 1 << 20 else np.unique(np.random.default_rng(seed).integers(0, n - 1, 4 * few))[:few]
+            shifts = ring.withColumn("s", F.explode(F.array(*[F.lit(int(s) + 1) for s in draws])))
+            start = shifts.select("query_id", ((F.col("r") + F.col("s")) % n).alias("r")).join(ring.withColumnRenamed("query_id", "neighbor_id"), "r").select("query_id", "neighbor_id")
         graph = checkpointed(search_among(points, points, start, k, id, features, metric).withColumn("new", F.lit(True)))
         rounds = 0
         for rounds in range(1, max_iterations + 1):

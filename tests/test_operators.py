@@ -381,6 +381,30 @@ def test_simpson_is_exact_for_parabolas(spark):
         assert abs(got["avg"] - (got["first"] + got["last"]) / 2) < 1e-9
 
 
+def test_areas_without_groups(spark):
+    rng = np.random.default_rng(16)
+    x, y = np.round(rng.uniform(0, 9, 700), 2), rng.normal(size=700)
+    order = np.lexsort((y, x))
+    true = float((np.diff(x[order]) * (y[order][1:] + y[order][:-1]) / 2).sum())
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(9)
+    assert abs(integrate.trapezoidal(df, "x", "y").first()[0] - true) < 1e-9
+    assert abs(classification.auc(df, "x", "y").first()[0] - true) < 1e-9
+    assert integrate.trapezoidal(df.limit(1), "x", "y").first()[0] == 0 and integrate.trapezoidal(df.limit(0), "x", "y").first()[0] == 0
+    assert classification.auc(df.limit(1), "x", "y").first()[0] is None
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    assert abs(integrate.trapezoidal(df, "x", "y").first()[0] - true) < 1e-9
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_descent_from_a_ring(spark):
+    rng = np.random.default_rng(18)
+    df, _ = frame(spark, rng.normal(size=(200, 3)))
+    true = neighbors.BruteKNN.fit(df, 5, exclude_self=True).predict(df)
+    got = neighbors.NNDescent.fit(df, 5, max_candidates=20, max_iterations=12, tree_init=False)
+    assert neighbors.neighbors_recall(true, got.graph).first()[0] >= 0.9
+
+
 def test_optimisers():
     rosen = lambda z: (1 - z[0]) ** 2 + 100 * (z[1] - z[0] ** 2) ** 2
     for out in (optimize.BFGS.minimize(np.array([-1.0, 2.0]), rosen), optimize.NelderMead.minimize(np.array([-1.0, 2.0]), rosen, 1e-8, 2000)):
