@@ -84,11 +84,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 
 class Store:
-    """Values of recurring keys (texts or bytes), a process; ``limit`` bounds their length in all, whatever the corpus.
+    """Values of recurring keys (texts or bytes), a process; ``limit`` bounds their bytes in all, whatever the corpus.
 
-    When it is full, all goes but the values of the keys at hand, as far as they fit.
+    An entry counts its key, its value and EACH for the objects around them. When it is full, all goes but the values of the keys at hand, as far as they fit.
     """
 
+    EACH = 200
+
     def __init__(self, limit: int):
         self.limit, self.size, self.kept = limit, 0, {}
 
@@ -98,12 +100,12 @@ class Store:
         new = [k for k in keys if k not in kept]
         made = make(new) if new else {}
         out = [kept[k] if k in kept else made[k] for k in keys]
-        more = sum(len(k) + size(made[k]) for k in new)
+        more = sum(len(k) + size(made[k]) + Store.EACH for k in new)
         if self.size + more > self.limit:
             kept.clear()
             self.size, more, made = 0, 0, {}
             for k, v in zip(keys, out):
-                if (more := more + len(k) + size(v)) > self.limit:
+                if (more := more + len(k) + size(v) + Store.EACH) > self.limit:
                     break
                 made[k] = v
                 self.size = more

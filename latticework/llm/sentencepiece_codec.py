@@ -34,10 +34,10 @@ from ._common import Store, free_name, map_batches
 from ._pieces import BYTE, SPACE, Pieces, default_path, pieces
 from ._words import mix
 
-#: Length of the chunks and ids kept a process.
-KEPT_BYTES = 24 << 20
+#: Bytes of chunks and ids kept a process.
+KEPT_BYTES = 64 << 20
 #: Texts are coded in runs of about this many bytes; one longer text makes a run of its own.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Places of the tables of one advance.
 CELLS = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)

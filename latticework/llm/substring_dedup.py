@@ -39,7 +39,7 @@ from ._words import mix, windows, word_runs
 
 WINDOW, ROUNDS = 13, 5
 #: Anchors or windows of a batch: what is known within one is combined before the shuffle.
-BATCH = 1 << 21
+BATCH = 1 << 20
 _SPAN_SHIFT = np.uint64(58)
 
 

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import Store, free_name, map_batches
 from ._pieces import Pieces, default_path, pieces
 
-#: Length of the chunks kept a process, with eight for each count.
-KEPT_BYTES = 16 << 20
+#: Bytes of chunks and counts kept a process.
+KEPT_BYTES = 64 << 20
 #: Texts are counted in runs of about this many bytes; one longer text makes a run of its own.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 
 
 class Counter:

@@ -313,7 +313,7 @@ def brute_substrings(rows, window=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batch", [1, 1 << 21])
+@pytest.mark.parametrize("batch", [1, 1 << 20])
 def test_substrings(edges, batch, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BATCH", batch)
     rows = [(r.doc_id, r.text) for r in edges.collect()]
@@ -321,7 +321,7 @@ def test_substrings(edges, batch, monkeypatch):
     assert sorted((str(r.doc_id), r._n_words, r.n_removed, r.text or "") for r in got) == brute_substrings(rows)
 
 
-@pytest.mark.parametrize("batch", [1, 1 << 21])
+@pytest.mark.parametrize("batch", [1, 1 << 20])
 def test_substrings_of_many_documents(spark, batch, monkeypatch):
     """One passage in most documents, runs of a word in others, and passages that two share; Arrow batches of three rows."""
     monkeypatch.setattr(substring_dedup, "BATCH", batch)
@@ -426,12 +426,12 @@ def test_word_encoder_agrees_on_odd_texts(monkeypatch):
     texts = ["a\x1c.b", "<|ENDOFTEXT|>. A", "", "x" * 5000, *("".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(4000))]
     own = _tokens.WordEncoder(packing.default_path())
     expected = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    for kept, run in ((1 << 20, 1 << 20), (300, 200)):
+    for kept, run in ((1 << 20, 1 << 20), (3000, 200)):
         monkeypatch.setattr(_tokens, "RUN_BYTES", run)
         own.kept = _tokens.Store(kept)
         got = [ids[a:b].tolist() for _, ids, bounds in own.runs(pa.array(texts)) for a, b in zip(bounds, bounds[1:])]
         assert got == expected
-        assert own.kept.size <= kept and own.kept.size == sum(len(k) + len(v) for k, v in own.kept.kept.items())
+        assert own.kept.size <= kept and own.kept.size == sum(len(k) + len(v) + _tokens.Store.EACH for k, v in own.kept.kept.items())
 
 
 def test_word_encoder_is_exact(edges):
@@ -564,9 +564,9 @@ def test_counts_in_runs_with_a_small_store(edges, monkeypatch):
     texts = [r.text for r in edges.collect()]
     whole = count.counts(pa.array(texts)).tolist()
     monkeypatch.setattr(token_counts, "RUN_BYTES", 50)
-    count.kept = token_counts.Store(200)
+    count.kept = token_counts.Store(2000)
     assert count.counts(pa.array(texts)).tolist() == whole
-    assert count.kept.size <= 200
+    assert count.kept.size <= 2000
     assert count.counts(pa.array([], pa.string())).tolist() == []
 
 
