@@ -19,9 +19,9 @@ from tokenizers import Tokenizer
 from ._common import Store
 
 #: Bytes of words and ids kept a process; what is kept beyond goes, but for the words of the run at hand.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 96 << 20
 #: Texts are coded in runs of about this many bytes, which bound the memory; one longer text makes a run of its own.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 8 << 20
 #: Words of letters that are coded in one text.
 TOGETHER = 4096
 #: A full stop or comma after a letter or digit and before white space is a token of its own.
