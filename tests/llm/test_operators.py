@@ -274,6 +274,30 @@ def test_near_in_tiles(spark, edges, monkeypatch, tile, small):
         assert x.component_id == (None if x.doc_id is None else comps[x.doc_id])
 
 
+@pytest.mark.parametrize("alike", [0.3, 0.42])
+def test_near_links_within_families(spark, alike):
+    """Buckets are full of documents of one family that are alike, but less than the floor of the estimate; links between two of them aren't lost."""
+    r = random.Random(23)
+    n, size, keep = 1500, 200, math.sqrt(2 * alike / (1 + alike))
+    base = [f"b{k}" for k in range(size)]
+    rows = [[w if r.random() < keep else f"x{r.getrandbits(60)}" for w in base] for _ in range(n)]
+    pairs = {}
+    for a in r.sample(range(n), 100):
+        own = list(rows[a])
+        for k in r.sample(range(size), 22):  # 178 of 222 words in common
+            own[k] = f"y{r.getrandbits(60)}"
+        pairs[len(rows)] = a
+        rows.append(own)
+    ids = r.sample(range(10**6), len(rows))
+    made = spark.createDataFrame([(d, " ".join(w)) for d, w in zip(ids, rows)], "doc_id long, text string").repartition(4)
+    found = {x.doc_id: x.component_id for x in minhash.near_duplicates(made, 1).collect()}
+    least = {ids[k]: ids[k] for k in range(len(rows))}
+    for b, a in pairs.items():
+        least[ids[a]] = least[ids[b]] = min(ids[a], ids[b])
+    # At the threshold, one pair in 2,500 shares no table.
+    assert sum(found[d] != least[d] for d in least) <= 2
+
+
 def test_star_edges_agree():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 5000, 60)
