@@ -52,3 +52,19 @@ def test_spectral_clustering_without_a_dense_matrix(spark, cloud, no_dense):
         clustering.KMeans.fit = staticmethod(fit)
     assert np.allclose(kept["u"], want, atol=1e-7)
     assert len(set(labels)) == 3
+
+
+def test_single_linkage_without_a_dense_matrix(spark, cloud, no_dense, monkeypatch):
+    monkeypatch.setattr("latticework.operators.slices.TREE_ROWS", 20)
+    want, got = clustering.linkage(clustering.distances(cloud, cloud), "single"), clustering.Hierarchical.fit(frame(spark, cloud), "single")
+    assert np.allclose(got.heights, want.heights)
+    for height in (0.3, 0.5, 1.0):
+        assert got.labels(height=height).tolist() == want.labels(height=height).tolist()
+        assert list(got.labels_map(height=height).values()) == list(want.labels_map(height=height).values())
+
+
+def test_ward_without_a_dense_matrix(spark, cloud, no_dense):
+    want, got = clustering.linkage(clustering.distances(cloud, cloud), "ward"), clustering.Hierarchical.fit(frame(spark, cloud), "ward")
+    assert np.allclose(got.heights, want.heights)
+    assert got.clades.tolist() == want.clades.tolist()
+    assert got.sizes.tolist() == want.sizes.tolist()
