@@ -68,3 +68,8 @@ def test_ward_without_a_dense_matrix(spark, cloud, no_dense):
     assert np.allclose(got.heights, want.heights)
     assert got.clades.tolist() == want.clades.tolist()
     assert got.sizes.tolist() == want.sizes.tolist()
+
+
+def test_hdbscan_without_a_dense_matrix(spark, cloud, no_dense, monkeypatch):
+    monkeypatch.setattr("latticework.operators.slices.TREE_ROWS", 20)
+    assert partition(of(clustering.HDBSCAN.fit(frame(spark, cloud), 5))) == partition(clustering.hdbscan_labels(cloud, 5).tolist())
