@@ -73,3 +73,8 @@ def test_ward_without_a_dense_matrix(spark, cloud, no_dense):
 def test_hdbscan_without_a_dense_matrix(spark, cloud, no_dense, monkeypatch):
     monkeypatch.setattr("latticework.operators.slices.TREE_ROWS", 20)
     assert partition(of(clustering.HDBSCAN.fit(frame(spark, cloud), 5))) == partition(clustering.hdbscan_labels(cloud, 5).tolist())
+
+
+def test_optics_without_a_dense_matrix(spark, cloud, no_dense):
+    assert of(clustering.OPTICS.fit(frame(spark, cloud), 5, eps=0.5)) == clustering.optics_labels(cloud, 5, eps=0.5).tolist()
+    assert of(clustering.OPTICS.fit(frame(spark, cloud), 5, eps=0.5, metric="manhattan")) == clustering.optics_labels(cloud, 5, eps=0.5, metric="manhattan").tolist()
