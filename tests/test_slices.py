@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from latticework.operators import clustering
+from latticework.operators import clustering, decomposition
 from latticework.operators.slices import largest
 
 
@@ -78,3 +78,20 @@ def test_hdbscan_without_a_dense_matrix(spark, cloud, no_dense, monkeypatch):
 def test_optics_without_a_dense_matrix(spark, cloud, no_dense):
     assert of(clustering.OPTICS.fit(frame(spark, cloud), 5, eps=0.5)) == clustering.optics_labels(cloud, 5, eps=0.5).tolist()
     assert of(clustering.OPTICS.fit(frame(spark, cloud), 5, eps=0.5, metric="manhattan")) == clustering.optics_labels(cloud, 5, eps=0.5, metric="manhattan").tolist()
+
+
+def test_kernel_pca_of_more_rows_than_a_matrix_had(spark):
+    x = np.random.default_rng(5).normal(size=(5200, 3)) * [3, 2, 1]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    got = np.array(of(decomposition.KernelPCA.fit_transform(df, "id", ["a", "b", "c"], 2), "kpca"))
+    c = x - x.mean(0)
+    z = c @ np.linalg.svd(c, full_matrices=False)[2][:2].T
+    assert np.allclose(np.abs(got), np.abs(z), atol=1e-6)
+
+
+def test_kernel_pca_of_an_rbf_kernel(spark, cloud):
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(cloud)], "id long, a double, b double, c double")
+    got = np.array(of(decomposition.KernelPCA.fit_transform(df, "id", ["a", "b", "c"], 2, kernel="rbf"), "kpca"))
+    k = decomposition.kernel_matrix(cloud, cloud, "rbf", 1 / 3, 3, 1.0)
+    values, v = np.linalg.eigh(k - k.mean(0) - k.mean(1)[:, None] + k.mean())
+    assert np.allclose(np.abs(got), np.abs(v[:, ::-1][:, :2] * np.sqrt(values[::-1][:2])), atol=1e-7)
