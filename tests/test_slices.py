@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from latticework.operators import clustering, decomposition
+from latticework.operators import clustering, decomposition, manifold
 from latticework.operators.slices import largest
 
 
@@ -95,3 +95,40 @@ def test_kernel_pca_of_an_rbf_kernel(spark, cloud):
     k = decomposition.kernel_matrix(cloud, cloud, "rbf", 1 / 3, 3, 1.0)
     values, v = np.linalg.eigh(k - k.mean(0) - k.mean(1)[:, None] + k.mean())
     assert np.allclose(np.abs(got), np.abs(v[:, ::-1][:, :2] * np.sqrt(values[::-1][:2])), atol=1e-7)
+
+
+@pytest.fixture
+def no_manifold(monkeypatch, no_dense):
+    monkeypatch.setattr(manifold, "MANIFOLD_LIMIT", 10)
+
+
+@pytest.mark.parametrize("normalized", [False, True])
+def test_mds_without_a_dense_matrix(spark, cloud, no_manifold, normalized):
+    starts = [np.random.default_rng(r).uniform(size=(len(cloud), 2)) for r in range(3)]
+    runs = [manifold.smacof(manifold.distances(cloud, cloud), s, normalized=normalized, max_iter=40) for s in starts]
+    y, stress, _ = min(runs, key=lambda r: r[1])
+    got, found = manifold.MDS.fit(frame(spark, cloud), n_init=3, normalized_stress=normalized, max_iter=40)
+    assert np.isclose(found, stress) and np.allclose(np.array(of(got, "embedding")), y, atol=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["squared_euclidean", "manhattan"])
+def test_tsne_without_a_dense_matrix(spark, cloud, no_manifold, metric):
+    want = manifold.tsne(cloud, perplexity=10, learning_rate=20, num_iters=5, metric=metric)
+    got = manifold.TSNE.fit(frame(spark, cloud), perplexity=10, learning_rate=20, num_iters=5, metric=metric)
+    assert np.allclose(np.array(of(got, "embedding")), want, rtol=1e-5, atol=1e-9)
+
+
+def test_trimap_without_a_dense_matrix(spark, cloud, no_manifold):
+    got = np.array(of(manifold.Trimap.transform(frame(spark, cloud), num_iters=200), "embedding"))
+    assert np.allclose(got, manifold.trimap(cloud, num_iters=200))
+
+
+def test_triplets():
+    x = np.random.default_rng(1).normal(size=(40, 3))
+    t, w = manifold.make_triplets(x, 4, 3, 2, 0.5, "euclidean", np.random.default_rng(0))
+    d = manifold.distances(x, x)
+    order = np.argsort(d, axis=1)
+    assert len(t) == 40 * (4 * 3 + 2) and (w >= 0).all()
+    for i, j, k in t[: 40 * 12]:
+        assert j in order[i, 1:5] and k not in order[i, :5]
+    assert all(len({i, j, k}) == 3 and d[i, j] <= d[i, k] for i, j, k in t[40 * 12 :])
