@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from latticework.operators import clustering, decomposition, manifold
+from latticework.operators import clustering, decomposition, manifold, neighbors
 from latticework.operators.slices import largest
 
 
@@ -132,3 +132,33 @@ def test_triplets():
     for i, j, k in t[: 40 * 12]:
         assert j in order[i, 1:5] and k not in order[i, :5]
     assert all(len({i, j, k}) == 3 and d[i, j] <= d[i, k] for i, j, k in t[40 * 12 :])
+
+
+def test_kd_tree_looks_at_small_subtrees_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, q = rng.integers(0, 6, (3000, 4)).astype(float), rng.uniform(0, 6, (300, 4))
+    order = neighbors.KDTree.permutation(x)
+    tree = neighbors.KDTree(order, x[order], 4)
+    calls = []
+    measure = neighbors.distances
+    monkeypatch.setattr(neighbors, "distances", lambda a, b, m: calls.append(len(b)) or measure(a, b, m))
+    d, found = tree.search_many(q)
+    assert max(calls) > 100  # a node at a time before
+    true = measure(q, x)
+    for r in range(len(q)):
+        assert list(zip(d[r].tolist(), found[r].tolist())) == sorted(zip(true[r].tolist(), range(3000)))[:4]
+
+
+@pytest.mark.parametrize("block", [20, 2048])
+def test_pairs_within_a_radius_are_counted_in_blocks(spark, cloud, monkeypatch, block):
+    monkeypatch.setattr(neighbors, "WIDE", block)
+    df = spark.createDataFrame([(i, r.tolist(), None if i % 11 == 0 else i % 4) for i, r in enumerate(cloud)], "id long, features array<double>, label int")
+    near = neighbors.distances(cloud, cloud) <= 0.6
+    np.fill_diagonal(near, False)
+    want = {}
+    for i in range(len(cloud)):
+        for j in np.flatnonzero(near[i]).tolist():
+            key = i, None if j % 11 == 0 else j % 4
+            want[key] = want.get(key, 0) + 1
+    rows = neighbors.radius_sums(df, df, 0.6, "label", exclude_self=True).collect()
+    assert {(r.query_id, r.value): r.w for r in rows} == want
