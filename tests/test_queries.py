@@ -49,3 +49,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", sorted(n for n in plans.QUERIES if n.endswith(("_nb_probability", "_nb_probabilities", "discriminant_probabilities"))))
+def test_scores_are_made_once_a_distinct_row(spark, sf, name):
+    """No score (they take exponentials or logarithms) is made below the distinct."""
+    plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan
+    below = plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
+    assert "EXP(" not in below.upper() and "array_max" not in below
