@@ -162,3 +162,22 @@ def test_pairs_within_a_radius_are_counted_in_blocks(spark, cloud, monkeypatch,
             want[key] = want.get(key, 0) + 1
     rows = neighbors.radius_sums(df, df, 0.6, "label", exclude_self=True).collect()
     assert {(r.query_id, r.value): r.w for r in rows} == want
+
+
+def test_silhouettes_and_dbscan_by_wide_blocks(spark, cloud, monkeypatch):
+    """No task takes all distances of its block at once, and several blocks give what one gives."""
+    df = spark.createDataFrame([(i, r.tolist(), i // 30) for i, r in enumerate(cloud)], "id long, features array<double>, label int")
+    d, y = clustering.distances(cloud, cloud), np.arange(len(cloud)) // 30
+    mean = np.stack([(d[:, y == k].sum(1) / (np.sum(y == k) - (y == k))) for k in range(3)], 1)
+    a = mean[np.arange(len(y)), y]
+    mean[np.arange(len(y)), y] = np.inf
+    b = mean.min(1)
+    seen = []
+    join = neighbors._block_join
+    monkeypatch.setattr(neighbors, "_block_join", lambda *r, **o: seen.append(r[7] if len(r) > 7 else o.get("block")) or join(*r, **o))
+    one = of(clustering.DBSCAN.fit(df, 0.6, 4))
+    monkeypatch.setattr(neighbors, "WIDE", 20)
+    monkeypatch.setattr(neighbors, "CHUNK", 8)
+    assert np.allclose(of(clustering.silhouette_samples(df, "label"), "silhouette"), (b - a) / np.maximum(a, b))
+    assert of(clustering.DBSCAN.fit(df, 0.6, 4)) == one
+    assert seen == [16384, 20, 20]
