@@ -43,3 +43,8 @@ def test_whole_vectors(monkeypatch, spark, sf, name):
 def test_default_rounds(monkeypatch, spark, sf, name):
     _, opts = handed(monkeypatch, spark, sf, name)
     assert not {"max_iterations", "iterations", "max_iter", "num_iters", "num_runs", "n_init", "tol", "eps"} & set(opts)
+
+
+def test_pairwise_has_all_pairs(spark, sf):
+    n = plans.embeddings(spark, sf).count()
+    assert plans.QUERIES["pairwise_euclidean"](spark, sf).count() == n * n
