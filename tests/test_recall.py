@@ -29,3 +29,16 @@ def test_nearest_of_a_leaf_is_exact(skip):
     for i, v in zip(ids, x):
         want = sorted((float(np.sqrt(((v - w) ** 2).sum())), int(j)) for j, w in zip(ids, x) if not (skip and i == j))[:4]
         assert [(float(p), int(j)) for p, j in zip(d[a == i], b[a == i])] == want
+
+
+def test_vectors_are_exchanged_as_they_are(spark):
+    """Single precision isn't widened on its way to a leaf or a pair, and distances are those of doubles."""
+    d = "/root/testdata/sf0.001"
+    one, two = plans.single(spark, d), plans.embeddings(spark, d)
+    forests = [neighbors.RandomProjectionForest.fit(e, 5, 4, 20) for e in (one, two)]
+    assert dict(forests[0]._in_leaves(one, True, True).dtypes)["x"] == "array<float>"
+    near = [sorted(map(tuple, f.predict(e, True).collect())) for f, e in zip(forests, (one, two))]
+    assert near[0] == near[1]
+    pairs = two.select(two.id.alias("query_id"), (two.id + 1).alias("neighbor_id"))
+    among = [sorted(map(tuple, neighbors.search_among(e, e, pairs, 3).collect())) for e in (one, two)]
+    assert among[0] == among[1] and among[0]
