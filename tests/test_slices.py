@@ -181,3 +181,53 @@ def test_silhouettes_and_dbscan_by_wide_blocks(spark, cloud, monkeypatch):
     assert np.allclose(of(clustering.silhouette_samples(df, "label"), "silhouette"), (b - a) / np.maximum(a, b))
     assert of(clustering.DBSCAN.fit(df, 0.6, 4)) == one
     assert seen == [16384, 20, 20]
+
+
+def messages(x, rounds, damping, pref, converge_after):
+    """Affinity propagation on whole matrices: (rounds, exemplars, labels)."""
+    n, rows = len(x), np.arange(len(x))
+    s = -clustering._sq(x, x)
+    off = s[~np.eye(n, dtype=bool)]
+    np.fill_diagonal(s, pref(off) if callable(pref) else pref)
+    s = s + (np.finfo(float).eps * s + np.finfo(float).tiny * 100) * np.random.default_rng(0).standard_normal((n, n))
+    r, a, same, last = np.zeros((n, n)), np.zeros((n, n)), 0, None
+    for k in range(1, rounds + 1):
+        t = a + s
+        top = t.argmax(1)
+        first = t[rows, top]
+        t[rows, top] = -np.inf
+        new = s - first[:, None]
+        new[rows, top] = s[rows, top] - t.max(1)
+        r = damping * r + (1 - damping) * new
+        pos = np.maximum(r, 0)
+        np.fill_diagonal(pos, np.diag(r))
+        new = pos.sum(0)[None, :] - pos
+        own = np.diag(new).copy()
+        new = np.minimum(new, 0)
+        np.fill_diagonal(new, own)
+        a = damping * a + (1 - damping) * new
+        now = np.diag(a) + np.diag(r) > 0
+        same = same + 1 if last is not None and (now == last).all() else 0
+        last = now
+        if same >= converge_after and now.any():
+            break
+    ex = np.flatnonzero(last)
+    labels = s[:, ex].argmax(1)
+    labels[ex] = np.arange(len(ex))
+    return k, ex.tolist(), labels.tolist()
+
+
+@pytest.mark.parametrize("preference", ["reduce_min", "reduce_max", "reduce_mean", "reduce_median", -4.0])
+def test_affinity_propagation_without_a_dense_matrix(spark, cloud, no_dense, monkeypatch, preference):
+    monkeypatch.setattr(clustering, "CELLS", 400)  # several chunks a task
+    pref = {"reduce_min": np.min, "reduce_max": np.max, "reduce_mean": np.mean, "reduce_median": np.median}.get(preference, preference)
+    df = frame(spark, cloud)
+    m = clustering.AffinityPropagation.fit(df, damping_factor=0.7, preference=preference)
+    assert (m.iterations, m.exemplars.tolist(), m.labels.tolist()) == messages(cloud, 300, 0.7, pref, 15)
+    d = clustering._sq(cloud, m.centers)
+    assert of(m.predict(df)) == d.argmin(1).tolist()
+
+
+def test_affinity_propagation_of_one_row(spark):
+    m = clustering.AffinityPropagation.fit(frame(spark, np.ones((1, 2))))
+    assert m.labels.tolist() == [0] and of(m.prune().predict(frame(spark, np.ones((1, 2))))) == [0]
