@@ -231,3 +231,31 @@ def test_affinity_propagation_without_a_dense_matrix(spark, cloud, no_dense, mon
 def test_affinity_propagation_of_one_row(spark):
     m = clustering.AffinityPropagation.fit(frame(spark, np.ones((1, 2))))
     assert m.labels.tolist() == [0] and of(m.prune().predict(frame(spark, np.ones((1, 2))))) == [0]
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "squared_euclidean", "cosine", "euclidean"])
+def test_pairwise_of_copies_makes_small_files(spark, tmp_path, monkeypatch, metric):
+    monkeypatch.setattr(neighbors, "BLOCK", 300)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(100, 3)), 9, axis=0)[rng.permutation(900)]
+    out = neighbors.pairwise(frame(spark, x), frame(spark, x), metric, digits=6)
+    out.write.parquet(f"{tmp_path}/out")
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2 * len(x) ** 2  # some 8 bytes a row before
+    rows = spark.read.parquet(f"{tmp_path}/out").orderBy("query_id", "neighbor_id").toArrow()
+    assert (rows["query_id"].to_numpy() == np.repeat(np.arange(900), 900)).all() and (rows["neighbor_id"].to_numpy() == np.tile(np.arange(900), 900)).all()
+    assert np.allclose(rows["distance"].to_numpy(), neighbors.distances(x, x, metric).ravel(), rtol=0, atol=5.1e-7)
+
+
+def test_half_up_is_the_round_of_spark(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=500) * 10 ** rng.uniform(-8, 12, 500), np.arange(-40, 40) * 5e-7, np.round(rng.uniform(0, 60, 2000), 7), [0.0, -0.0, 1e300, np.inf, np.nan]])
+    want = spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "i long, v double").selectExpr("i", "round(v, 6) + 0.0D r").orderBy("i").toArrow()["r"].to_numpy()
+    got = neighbors.half_up(v, 6)
+    assert np.array_equal(got, want, equal_nan=True) and not np.signbit(got[got == 0]).any()
+
+
+def test_pairs_of_slices_get_tasks_of_their_own(spark, cloud, monkeypatch):
+    """However few bytes they are, not one task for all."""
+    monkeypatch.setattr(neighbors, "BLOCK", 20)
+    tasks = neighbors.pairwise(frame(spark, cloud), frame(spark, cloud)).rdd.getNumPartitions()
+    assert tasks >= 16  # 4 at most before, as many as shuffle partitions
